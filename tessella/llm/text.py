@@ -32,6 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 GOLD = U(0x9E3779B97F4A7C15)
+STEPS = np.arange(1 << 12, dtype=np.uint64) * GOLD
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
 BASE = 0x5851F42D4C957F2D
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
