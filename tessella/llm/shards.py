@@ -31,35 +31,43 @@ def _ranked(df: DataFrame, group: list[str], ranges: str, order: list, out: str,
     return df.withColumn("_r", rank).join(before, keys).withColumn(out, (F.col("_r") + F.col("before")).cast("long")).drop("_r", "before")
 
 
-def interleave(docs: DataFrame, shards: int, *, seed: str = "shards", ranges: int = RANGES, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(row key columns) `_id`, `_dup`, shard, slot for each row of docs.
+def interleave(rows: DataFrame, shards: int, *, seed: str = "shards", ranges: int = RANGES, id_col: str = "doc_id", source_col: str = "source", ties: tuple[str, ...] = ()) -> DataFrame:
+    """rows with `shard` (0 to shards - 1) and `slot` (gapless from 0 in its shard); all columns are carried, so pass narrow rows.
 
-    Null sources are a source of their own. Rows that repeat an id keep one place each:
-    they are told apart by `_dup`, their number among the rows of that id. An empty table
-    gives an empty result; with fewer rows than shards some shards stay empty.
+    Null sources are a source of their own. Rows that repeat an id lie next to each other in
+    the shuffle; `ties` orders them, and rows equal in those too are interchangeable. An
+    empty table gives an empty result; with fewer rows than shards some shards stay empty.
+    """
+    scratch = Scratch(rows.sparkSession)
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")).cast("binary"))
+    order = ["_h", id_col, *ties]
+    start = rows.withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))).withColumn("_h", digest)
+    start = start.withColumn("_b", F.expr(f"cast(cast(conv(substring(_h, 1, 8), 16, 10) as long) * {ranges}L div 4294967296L as int)"))
+    inner = scratch.keep("within", _ranked(start, ["_s"], "_b", order, "_i", scratch, "sources"))
+    totals = scratch.keep("totals", inner.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")))
+    n = totals.agg(F.sum("_n")).first()[0] or 0
+    parted = inner.join(totals, "_s").withColumn("_f", (F.col("_i") + 0.5) / F.col("_n")).withColumn("_b", F.floor(F.col("_f") * ranges).cast("int"))
+    placed = _ranked(parted, [], "_b", ["_f", "_h", "_s", id_col, *ties], "_p", scratch, "order")
+    placed = placed.withColumn("shard", F.expr(f"cast((_p * {shards}L) div {max(n, 1)}L as int)"))
+    return placed.withColumn("slot", F.expr(f"_p - (shard * {n}L + {shards - 1}L) div {shards}L")).drop("_s", "_h", "_b", "_i", "_n", "_f", "_p")
+
+
+def shard_documents(docs: DataFrame, shards: int, *, seed: str = "shards", ranges: int = RANGES) -> DataFrame:
+    """docs (with doc_id and source) with shard and slot; any other columns are kept, a former `shard` or `slot` is replaced.
+
+    The texts move once: places are found on narrow rows and joined. Rows that repeat an id
+    are told apart by a digest of their columns and a number, found only if there are any.
     """
     scratch = Scratch(docs.sparkSession)
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_dup").cast("string")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_s"), F.col(source_col).isNull().alias("_null"), F.col("_dup"))
-    rows = rows.withColumn("_h", digest).withColumn("_b", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int"))
-    inner = scratch.keep("within", _ranked(rows, ["_s", "_null"], "_b", ["_h", "_id", "_dup"], "_i", scratch, "sources"))
-    totals = inner.groupBy("_s", "_null").agg(F.count(F.lit(1)).alias("_n"))
-    parted = inner.join(F.broadcast(totals) if totals.limit(100_001).count() <= 100_000 else totals, ["_s", "_null"])
-    parted = parted.withColumn("_f", (F.col("_i") + 0.5) / F.col("_n")).withColumn("_b", F.floor(F.col("_f") * ranges).cast("int"))
-    placed = _ranked(parted.select("_id", "_dup", "_s", "_null", "_h", "_f", "_b"), [], "_b", ["_f", "_h", "_id", "_dup", "_null", "_s"], "_p", scratch, "order")
-    n = inner.count()
-    shard = F.expr(f"cast((_p * {shards}L) div {max(n, 1)}L as int)")
-    return placed.withColumn("shard", shard).select("_id", "_dup", "shard", F.expr(f"_p - (shard * {n}L + {shards - 1}L) div {shards}L").alias("slot"))
-
-
-def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with `_dup`, which tells rows of one id apart: 0 where ids are unique, else by a digest of the row and its number among equal rows."""
-    scratch = Scratch(docs.sparkSession)
-    many = scratch.keep("many", docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col(id_col).alias("_id")))
-    if many.isEmpty():
-        return docs.withColumn("_dup", F.lit(0))
-    w = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-    return docs.withColumn("_dup", F.row_number().over(w) - 1)
+    docs = docs.drop("shard", "slot", "_key")
+    repeats = scratch.keep("repeats", docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL").limit(1))
+    if repeats.isEmpty():
+        keyed = docs.withColumn("_key", F.lit(0))
+    else:
+        keyed = scratch.keep("keyed", docs.withColumn("_key", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))))
+    placed = interleave(keyed.select("doc_id", "_key", "source"), shards, seed=seed, ranges=ranges, ties=("_key",))
+    places = placed.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "shard", "slot")
+    return keyed.join(places, F.expr("doc_id <=> _d AND _key = _k")).select(*docs.columns, "shard", "slot")
 
 
 def shard_report(docs: DataFrame, shards: int = 40, *, seed: str = "shards", ranges: int = RANGES) -> DataFrame:
@@ -67,8 +75,7 @@ def shard_report(docs: DataFrame, shards: int = 40, *, seed: str = "shards", ran
 
     size is the UTF-8 bytes of the text plus 16 (null: 16), text_crc32 that of the bytes (null: of none).
     """
-    rows = numbered(docs.select("doc_id", "source", "text"))
-    placed = interleave(rows.select("doc_id", "source", "_dup"), shards, seed=seed, ranges=ranges)
     binary = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    facts = rows.select(F.col("doc_id").alias("_id"), "_dup", (F.octet_length(binary) + 16).cast("long").alias("size"), F.crc32(binary).alias("text_crc32"))
-    return facts.join(placed, ["_id", "_dup"]).select(F.col("_id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows = docs.select("doc_id", "source", (F.octet_length(binary) + 16).cast("long").alias("size"), F.crc32(binary).alias("text_crc32"))
+    placed = interleave(rows, shards, seed=seed, ranges=ranges, ties=("text_crc32", "size"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
