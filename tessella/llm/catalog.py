@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, shards
+from ..functions.session import importable
+from . import decontaminate, minhash, mixing, shards
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op8_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_read(spark, sf_dir, "documents"))
 
 
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +30,14 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_spaced_seeds": op1_spaced_seeds,
+        "op8_raked_mixture": op8_raked_mixture,
         "op9_superminhash": op9_superminhash,
         "op10_interleave": op10_interleave,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op8_raked_mixture": mixing.oracle(),
+    }
