@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.session import importable
-from . import decontaminate, minhash, mixing, shards
+from . import decontaminate, minhash, mixing, quality, shards
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.scored(spark, docs, quality.train(spark, docs, _read(spark, sf_dir, "labels")))
+
+
 def op8_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_read(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
+        "op3_factorisation_machine": op3_factorisation_machine,
         "op8_raked_mixture": op8_raked_mixture,
         "op9_superminhash": op9_superminhash,
         "op10_interleave": op10_interleave,

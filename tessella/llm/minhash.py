@@ -234,3 +234,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 75,
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, all columns as they were; of rows that repeat an id one stays, a null id stays."""
+    keep = near_duplicates(spark, docs.where("doc_id IS NOT NULL"), **options).where("kept").select(F.col("doc_id").alias("_kept"))
+    repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND doc_id IS NOT NULL").limit(1)
+    one = docs if repeats.isEmpty() else docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    return one.join(keep, F.expr("doc_id = _kept"), "left_semi").unionByName(one.where("doc_id IS NULL"))
