@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.session import importable
-from . import decontaminate, fertility, minhash, mixing, quality, shards
+from . import decontaminate, fertility, language, minhash, mixing, quality, shards
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op3_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(spark, docs, quality.train(spark, docs, _read(spark, sf_dir, "labels")))
 
 
+def op4_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language.identified(spark, docs, language.train(docs))
+
+
 def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.ruled(spark, _read(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def queries():
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
         "op3_factorisation_machine": op3_factorisation_machine,
+        "op4_viterbi": op4_viterbi,
         "op6_fertility": op6_fertility,
         "op8_raked_mixture": op8_raked_mixture,
         "op9_superminhash": op9_superminhash,
