@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.session import importable
-from . import decontaminate, fertility, language, minhash, mixing, quality, shards
+from . import decontaminate, fertility, language, minhash, mixing, quality, sentences, shards
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.ruled(spark, _read(spark, sf_dir, "documents"))
 
 
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.deduplicated(spark, _read(spark, sf_dir, "documents"))
+
+
 def op8_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries():
         "op3_factorisation_machine": op3_factorisation_machine,
         "op4_viterbi": op4_viterbi,
         "op6_fertility": op6_fertility,
+        "op7_sentence_spans": op7_sentence_spans,
         "op8_raked_mixture": op8_raked_mixture,
         "op9_superminhash": op9_superminhash,
         "op10_interleave": op10_interleave,
