@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.session import importable
-from . import decontaminate, fertility, language, minhash, mixing, quality, sentences, shards
+from . import decontaminate, fertility, language, lm, minhash, mixing, quality, sentences, shards
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(spark, docs, language.train(docs))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(spark, _read(spark, sf_dir, "documents"))
+
+
 def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.ruled(spark, _read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries():
         "op1_spaced_seeds": op1_spaced_seeds,
         "op3_factorisation_machine": op3_factorisation_machine,
         "op4_viterbi": op4_viterbi,
+        "op5_context_mixing": op5_context_mixing,
         "op6_fertility": op6_fertility,
         "op7_sentence_spans": op7_sentence_spans,
         "op8_raked_mixture": op8_raked_mixture,
