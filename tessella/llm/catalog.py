@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.session import importable
-from . import decontaminate, fertility, language, lm, minhash, mixing, quality, sentences, shards
+from . import decontaminate, fertility, language, lm, minhash, mixing, quality, sentences, shards, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.reported(spark, _read(spark, sf_dir, "documents"))
+
+
 def op3_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality.scored(spark, docs, quality.train(spark, docs, _read(spark, sf_dir, "labels")))
@@ -53,6 +57,7 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
+        "op2_deep_shallow": op2_deep_shallow,
         "op3_factorisation_machine": op3_factorisation_machine,
         "op4_viterbi": op4_viterbi,
         "op5_context_mixing": op5_context_mixing,
