@@ -18,6 +18,11 @@ def sum0(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0.0))
 
 
+def sum0_over(c: Column, w) -> Column:
+    """sum0 over a window."""
+    return F.coalesce(F.sum(c).over(w), F.lit(0.0))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, NULL where b is 0 or NULL."""
     return a / F.nullif(b, F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import require, sum0, value
+from ..functions.nulls import require, sum0_over, value
 from ..plans.schema import OutputSchema
 from . import validate
 
@@ -73,7 +73,7 @@ def legacy_export(frame: DataFrame, *, id_col: str = "hierid", lon: str = "cell_
     w = Window.partitionBy(id_col)
     rows = dense_ids(frame.withColumn(id_col, F.col(id_col).cast("string")), id_col)
     raw = [F.coalesce(value(f"{n}_raw"), F.lit(0.0)).alias(n) for n in names]
-    totals = [sum0(value(f"{n}_raw")).over(w).alias(f"{n}total") for n in names]
+    totals = [sum0_over(value(f"{n}_raw"), w).alias(f"{n}total") for n in names]
     return rows.select(id_col, F.col(lon).alias("pix_cent_x"), F.col(lat).alias("pix_cent_y"), *raw, *totals, *(F.col(f"{n}wt") for n in names), "shpid")
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import sum0, value
+from ..functions.nulls import sum0_over, value
 
 POLICIES = ("area", "zero", "error", "nan")
 
 
 def native_weights(cells: DataFrame, group: list[str], name: str, raw: str, strict: bool = True) -> DataFrame:
     """cells with {name}wt = raw / group total, {name}_raw and {name}_method native; strict: a total not above 0 raises."""
-    total = sum0(value(raw)).over(Window.partitionBy(*group))
+    total = sum0_over(value(raw), Window.partitionBy(*group))
     out = cells.withColumn("_t", total).withColumn(f"{name}_raw", value(raw)).withColumn(f"{name}wt", F.when(F.col("_t") > 0, F.col(f"{name}_raw") / F.col("_t"))).withColumn(f"{name}_method", F.lit("native"))
     if strict and (bad := out.where("_t <= 0").select(*group).distinct().limit(5).collect()):
         raise ValueError(f"{name}: groups without a positive total, such as {[tuple(r) for r in bad]}")
@@ -33,7 +33,7 @@ def with_fallback(spine: DataFrame, raw: DataFrame, keys: list[str], group: list
             raise ValueError(f"{name}: groups that the area spine lacks, such as {[tuple(r) for r in lost]}")
     joined = spine.join(raw.select(*keys, value(raw_col).alias("_x")), keys, "left").withColumn("_x", F.coalesce("_x", F.lit(0.0)))
     w = Window.partitionBy(*group)
-    joined = joined.withColumn("_t", F.sum("_x").over(w)).withColumn("_a", sum0(value(area)).over(w))
+    joined = joined.withColumn("_t", F.sum("_x").over(w)).withColumn("_a", sum0_over(value(area), w))
     if strict:
         if policy == "error" and (bad := joined.where("_t <= 0").select(*group).distinct().limit(5).collect()):
             raise ValueError(f"{name}: no positive total in {[tuple(r) for r in bad]}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import ratio, reject_duplicates, sum0, value
+from ..functions.nulls import ratio, reject_duplicates, sum0, sum0_over, value
 
 
 def regroup_sum(frame: DataFrame, groups: list[str], value_col: str = "value") -> DataFrame:
@@ -76,9 +76,9 @@ def split_area_weights(pairs: DataFrame, areas: DataFrame, *, source: list[str],
     """Weights on targets from an amount of each source unit, split by its land area: raw is the split amount, wt its share of the target's total, NULL where that is 0."""
     if check and (lost := pairs.select(*source).distinct().join(areas, source, "left_anti").limit(5).collect()):
         raise ValueError(f"units without an amount: {[tuple(r) for r in lost]}")
-    share = ratio(value(land), sum0(value(land)).over(Window.partitionBy(*source)))
+    share = ratio(value(land), sum0_over(value(land), Window.partitionBy(*source)))
     rows = pairs.join(areas.select(*source, value(amount).alias("_a")), source).withColumn("raw", share * F.col("_a"))
-    return rows.withColumn("wt", ratio(F.col("raw"), sum0(F.col("raw")).over(Window.partitionBy(*target)))).drop("_a")
+    return rows.withColumn("wt", ratio(F.col("raw"), sum0_over(F.col("raw"), Window.partitionBy(*target)))).drop("_a")
 
 
 def every_year(steps: DataFrame, years: tuple[int, int], step: int = 5, year_col: str = "year") -> DataFrame:
