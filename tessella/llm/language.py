@@ -26,7 +26,7 @@ SWITCH, WORD_BOUND = 12.0, 6.0
 #: Least share of a language's words in a script for the script to admit the language.
 SCRIPT_SHARE = 0.005
 BLOCK = 64
-SLICE = 1 << 20
+SLICE = 2 << 20
 
 
 def lowered(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -62,29 +62,50 @@ def word_scripts(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(by.sum(axis=1) > 0, by.argmax(axis=1), scripts.NONE)
 
 
+def gathered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans one after the other with a space behind each: bytes, starts, ends."""
+    size = ends - starts + 1
+    at = np.cumsum(size) - size
+    out = np.append(buf, np.uint8(32))[np.arange(int(size.sum())) - np.repeat(at - starts, size)]
+    out[at + size - 1] = 32
+    return out, at, at + size - 1
+
+
+def lettered(buf: np.ndarray, offs: np.ndarray):
+    """Start, end, row and number of every word with letters, and the distinct ones by number: bytes, starts, ends, scripts.
+
+    Scripts and n-grams are looked up once for a distinct word of the slice, not for each place.
+    """
+    starts, ends, row = tx.words(buf, offs)
+    _, first, inv = np.unique(tx.spans(tx.prefix(buf), starts, ends), return_index=True, return_inverse=True)
+    own, a, b = gathered(buf, starts[first], ends[first])
+    script = word_scripts(own, a)
+    some = script != scripts.NONE
+    here = some[inv]
+    return starts[here], ends[here], row[here], (np.cumsum(some) - 1)[inv[here]], own, a[some], b[some], script[some]
+
+
 def _count(batches):
     held: dict[str, np.ndarray] = {}
     words: dict[str, np.ndarray] = {}
     for batch in batches:
         for part, _, _ in tx.slices(batch, limit=SLICE):
-            buf, offs = lowered(part)
-            starts, ends, row = tx.words(buf, offs)
-            script = word_scripts(buf, starts)
-            some = script != scripts.NONE
-            starts, ends, row, script = starts[some], ends[some], row[some], script[some]
-            if not len(starts):
+            _, _, row, number, own, a, b, script = lettered(*lowered(part))
+            if not len(row):
                 continue
-            g, at, size = grams(buf, starts, ends)
-            lang = np.array(part.column(part.schema.get_field_index("lang")).to_pylist(), object)[row]
-            of_place = np.repeat(lang, size)
-            for name in set(lang):
-                mine = of_place == name
+            g, at, size = grams(own, a, b)
+            names, lang = np.unique(np.array(part.column(part.schema.get_field_index("lang")).to_pylist(), object).astype(str), return_inverse=True)
+            times = np.bincount(lang[row] * len(a) + number, minlength=len(names) * len(a)).reshape(len(names), len(a))
+            for name, count in zip(names.tolist(), times):
+                if not count.any():
+                    continue
                 t = held.setdefault(name, np.zeros(len(GRAMS) << BITS, np.int64))
+                of_place = np.repeat(count, size)
                 for i in range(len(GRAMS)):
-                    x = g[i, mine]
-                    t[i << BITS : (i + 1) << BITS] += np.bincount(x[x >= 0], minlength=1 << BITS)
+                    ok = g[i] >= 0
+                    t[i << BITS : (i + 1) << BITS] += np.bincount(g[i][ok], of_place[ok], 1 << BITS).astype(np.int64)
                 w = words.setdefault(name, np.zeros(len(scripts.NAMES), np.int64))
-                w += np.bincount(script[lang == name], minlength=len(scripts.NAMES))
+                w += np.bincount(script, count, len(scripts.NAMES)).astype(np.int64)
     yield from tables.chunks({f"g{k}": v for k, v in held.items()} | {f"s{k}": v for k, v in words.items()})
 
 
@@ -99,9 +120,9 @@ class Speaker:
     def word_scores(self, buf, starts, ends, script) -> np.ndarray:
         g, at, size = grams(buf, starts, ends)
         score = np.zeros((g.shape[1], len(self.langs)), np.float32)
+        logp = np.vstack([self.logp, np.zeros((1, len(self.langs)), np.float32)])
         for i in range(len(GRAMS)):
-            ok = g[i] >= 0
-            score[ok] += self.logp[(i << BITS) + g[i][ok]]
+            score += logp.take(np.where(g[i] >= 0, (i << BITS) + g[i], len(self.logp)), axis=0)
         if not len(at):
             return np.zeros((0, len(self.langs)), np.float32)
         total = np.add.reduceat(score, at, axis=0) / len(GRAMS)
@@ -135,6 +156,14 @@ def train(docs: DataFrame) -> Speaker | None:
     return Speaker(langs, logp, admits)
 
 
+def _top(x: np.ndarray) -> np.ndarray:
+    """Maximum over the last axis, which is short and stays."""
+    out = x[..., :1]
+    for i in range(1, x.shape[-1]):
+        out = np.maximum(out, x[..., i : i + 1])
+    return out
+
+
 def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best label of every word for rows of words bounds[i]:bounds[i+1].
 
@@ -157,7 +186,7 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np
         if not len(live):
             break
         g = gain[live]
-        gain[live] = np.maximum(g, g.max(axis=2, keepdims=True) - switch) + score[first[live] + t][:, None, :]
+        gain[live] = np.maximum(g, _top(g) - switch) + score[first[live] + t][:, None, :]
     order = np.argsort(-blocks, kind="stable")
     start = (np.cumsum(blocks) - blocks)[order]
     left = blocks[order]
@@ -188,10 +217,10 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np
         if not len(live):
             break
         v = best[live]
-        top = v.argmax(axis=1)
-        stay = v >= v.max(axis=1, keepdims=True) - switch
+        top, least = v.argmax(axis=1), _top(v) - switch
+        stay = v >= least
         came[first[live] + t] = np.where(stay, np.arange(n_lang)[None], top[:, None])
-        best[live] = np.where(stay, v, v.max(axis=1, keepdims=True) - switch) + score[first[live] + t]
+        best[live] = np.where(stay, v, least) + score[first[live] + t]
     label = np.zeros(len(score), np.int64)
     label[last - 1] = end
     now = end.copy()
@@ -204,12 +233,8 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np
 
 
 def _labelled(model, part):
-    buf, offs = lowered(part)
-    starts, ends, row = tx.words(buf, offs)
-    script = word_scripts(buf, starts)
-    some = script != scripts.NONE
-    starts, ends, row, script = starts[some], ends[some], row[some], script[some]
-    label = viterbi(model.word_scores(buf, starts, ends, script), tx.bounds(row, part.num_rows)) if len(starts) else np.zeros(0, np.int64)
+    starts, ends, row, number, own, a, b, script = lettered(*lowered(part))
+    label = viterbi(model.word_scores(own, a, b, script)[number], tx.bounds(row, part.num_rows)) if len(row) else np.zeros(0, np.int64)
     return starts, ends, row, label
 
 
