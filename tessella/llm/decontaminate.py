@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 U = np.uint64
-#: With these three, any 13 tokens of which two are substituted still have a hit (tests try all cases).
-MASKS = ("11111011", "1100101111", "11011100011")
+#: Any 13 tokens or more of which a fifth are substituted still have a hit. Such a stretch holds one of 13 with 2, 15 with 3,
+#: 20 with 4 or 25 with 5 substitutions (or fewer); tests try all their placements.
+MASKS = ("11111011", "1100101111", "11011100011", "11100000101011", "1001010100111", "110111101")
 MIN_TOKENS = 13
 MIN_SHARE = 0.8
 SHORTEST = 5
-#: Benchmark tokens that one pass over the documents carries to every task, about 100 bytes each; more tokens take more passes.
+#: Benchmark tokens that one pass over the documents carries to every task, about 110 bytes each; more tokens take more passes.
 BLOCK_TOKENS = 500_000
 FOUND = "doc_id long, item_id long, start long, n_overlap long, n_matched long, coverage double"
 
@@ -84,16 +85,29 @@ class Index:
         key, at = key[order], at[order]
         seen = np.zeros(1 << 22, bool)
         seen[key >> U(42)] = True
-        return Index(np.array(ids, np.int64), word, bounds, masks, key, row[at], at - bounds[row[at]], seen)
+        return Index(np.array(ids, np.int64), word, bounds, masks, key, row[at].astype(np.int32), (at - bounds[row[at]]).astype(np.int32), seen)
 
 
-def overlap(equal: np.ndarray, share: float) -> tuple[int, int]:
-    """The stretch [a, b) of the greatest sum, a match counting 1 - share and a mismatch -share: at least that share of it matches."""
+def overlap(equal: np.ndarray, share: float, least: int) -> tuple[int, int]:
+    """Of the stretches [a, b) of at least `least` places that match in at least that share, one of the most matches; (0, 0) for none.
+
+    For each end the leftmost start whose prefix sum (1 - share a match, -share a mismatch)
+    is not above that of the end is the longest stretch, so none ending there matches more.
+    Mismatches at its ends are cut off while `least` places remain.
+    """
     sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - share, -share))])
-    low = np.minimum.accumulate(sums)
-    gain = sums - low
-    b = len(gain) - 1 - int(np.argmax(gain[::-1] >= gain.max() - 1e-9))
-    a = int(np.flatnonzero(sums[: b + 1] <= low[b] + 1e-9)[0])
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums - 1e-9)
+    match = np.concatenate([[0], np.cumsum(equal)])
+    ends = np.arange(len(sums))
+    ok = np.flatnonzero(ends - first >= least)
+    if not len(ok):
+        return 0, 0
+    b = int(ok[np.argmax(match[ok] - match[first[ok]])])
+    a = int(first[b])
+    while b - a > least and not equal[a]:
+        a += 1
+    while b - a > least and not equal[b - 1]:
+        b -= 1
     return a, b
 
 
@@ -127,8 +141,8 @@ def matcher(index, min_tokens: int, share: float):
                     i0, n_item = ix.bounds[item], ix.bounds[item + 1] - ix.bounds[item]
                     lo_, hi_ = max(0, -shift), min(n_item, n_doc - shift)
                     equal = word[d0 + shift + lo_ : d0 + shift + hi_] == ix.word[i0 + lo_ : i0 + hi_]
-                    a, b = overlap(equal, share)
-                    if b - a >= min(min_tokens, n_item):
+                    a, b = overlap(equal, share, int(min(min_tokens, n_item)))
+                    if b > a:
                         m = int(equal[a:b].sum())
                         best[r, item] = max(best.get((r, item), (0,)), (m, -(shift + lo_ + a), b - a, m / int(n_item)))
                 if best:
@@ -145,7 +159,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     docs(doc_id, text), benchmark(item_id, text). An overlap has at least min_tokens tokens
     (or all of a shorter item, then without substitutions), `share` of them equal place by
     place. start is the first overlapping token of the document, coverage the matched share
-    of the item. Items of fewer than five tokens are no evidence and are left out; so are
+    of the item. At the default min_tokens and share every overlap is found. Items of fewer than five tokens are no evidence and are left out; so are
     rows without id or text. Rows that repeat an id give a row each.
 
     The benchmark goes to the tasks in blocks of bounded size; a benchmark above one block

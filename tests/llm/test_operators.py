@@ -139,6 +139,42 @@ def test_every_two_substitutions_leave_a_hit():
         assert any(all(m[p - o] == "0" for p in lost if 0 <= p - o < len(m)) for m in decontaminate.MASKS for o in range(decontaminate.MIN_TOKENS - len(m) + 1))
 
 
+def test_every_fifth_substituted_leaves_a_hit():
+    for n, k in ((13, 2), (15, 3), (20, 4), (25, 5)):
+        lost = np.array([sum(1 << p for p in c) for c in itertools.combinations(range(n), k)])
+        hit = np.zeros(len(lost), bool)
+        for m in decontaminate.MASKS:
+            for o in range(n - len(m) + 1):
+                hit |= (lost & (int(m[::-1], 2) << o)) == 0
+        assert hit.all(), (n, k)
+
+
+def test_overlap_is_the_stretch_of_most_matches():
+    flank = np.zeros(4, bool)
+    for n, k in ((13, 2), (20, 3)):
+        for lost in itertools.combinations(range(n), k):
+            equal = np.ones(n, bool)
+            equal[list(lost)] = False
+            a, b = decontaminate.overlap(np.concatenate([flank, equal, flank]), 0.8, 13)
+            assert b - a >= 13 and 10 * (m := int(np.concatenate([flank, equal, flank])[a:b].sum())) >= 8 * (b - a) and m >= min(n - k, 11)
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        equal = rng.random(rng.integers(1, 45)) < rng.choice([0.5, 0.75, 0.85])
+        match = np.concatenate([[0], np.cumsum(equal)])
+        ok = [int(match[b] - match[a]) for a in range(len(equal)) for b in range(a + 13, len(equal) + 1) if 10 * (match[b] - match[a]) >= 8 * (b - a)]
+        a, b = decontaminate.overlap(equal, 0.8, 13)
+        assert equal[a:b].sum() == max(ok, default=0) and (b - a >= 13) == bool(ok)
+
+
+def test_overlaps_of_the_stated_share_are_found(spark):
+    rng = random.Random(6)
+    item = [f"w{i}" for i in range(25)]
+    cases = [(13, c) for c in itertools.combinations(range(13), 2)] + [(15, (3, 7, 11)), (20, (4, 9, 14, 19)), (25, (4, 9, 14, 19, 24))] + [(n, tuple(rng.sample(range(n), n // 5))) for n in (16, 18, 20, 22, 25) for _ in range(20)]
+    docs = [(i, " ".join(["x y z", *("sub" if p in c else w for p, w in enumerate(item[:n])), "u v"])) for i, (n, c) in enumerate(cases)]
+    found = decontaminate.contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == set(range(len(cases))) and all(r["n_overlap"] >= 13 and 10 * r["n_matched"] >= 8 * r["n_overlap"] for r in found)
+
+
 def test_decontamination(spark, nothing):
     rng = random.Random(5)
     items = [prose(rng, 30), prose(rng, 14), "only six words are in here", None, ""]
