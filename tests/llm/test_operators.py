@@ -266,6 +266,27 @@ def test_lm_base_counts_and_gain(spark, corpus, nothing):
     assert lm.scored(spark, nothing).count() == 0
 
 
+def test_lm_score_spells_unseen_words(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    rng = random.Random(10)
+    unseen = ["qzxv", "qzxvkjwqpzxvqkjwzzqxvbnm", "erinon", "xq9"]
+    docs = [(i, prose(rng, 60)) for i in range(200) if i not in held] + list(zip(held, unseen))
+    got = {r["doc_id"]: r for r in lm.scored(spark, spark.createDataFrame(docs, "doc_id long, text string")).where("held_out").collect()}
+    one = [got[i] for i in held]
+    assert [r["n_tokens"] - r["n_known"] for r in one] == [1] * 4
+    bits = [r["bits_per_byte"] * len(w) for r, w in zip(one, unseen)]
+    for r, b in zip(one, bits):
+        assert r["score"] - one[0]["score"] == pytest.approx((bits[0] - b) * math.log10(2))
+    assert one[1]["score"] < one[0]["score"] - 5
+
+
+def test_lm_classes_share_one_probability():
+    bits = np.random.default_rng(1).dirichlet(np.ones(50))
+    for new, n in ((0.1, 30), (0.7, 3)):
+        a, b = lm.class_logs(new, float(bits[:n].sum()))
+        assert (bits[:n] * 10**a).sum() == pytest.approx(1 - new) and (bits[n:] * 10**b).sum() == pytest.approx(new)
+
+
 def test_lm_costs_are_a_distribution():
     rng = np.random.default_rng(0)
     mixer = lm.Mixer(rng.normal(0, 1, lm.OFFSETS[-1]).astype(np.float32), lm.start_weights(), rng.normal(0, 1, 256 * lm.LEVELS).astype(np.float32), rng.random(1 << lm.CONTEXTS[-1][1]) < 0.5)
