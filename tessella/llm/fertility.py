@@ -1,9 +1,10 @@
 """Quality rules from tokenisers: characters per token, byte-fallback share and token entropy under public vocabularies.
 
 A vocabulary made for natural text splits junk into more tokens, falls back to bytes more
-often or repeats few tokens. Each script gets its own bands: quartiles of the measures over
-all documents of the corpus that pass the base rules, widened by a multiple of their
-distance; a document outside a band is rejected.
+often or repeats few tokens. Each language of a script gets its own bands: quartiles of the
+measures over its documents that pass the base rules, widened by a multiple of their
+distance; a document outside a band is rejected. Rare languages take the bands of their
+script, rare scripts those of all rare scripts together.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the byte-level vocabularies cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Bands reach this many interquartile distances (of at least LEAST) beyond the quartiles; scripts with fewer documents have none.
+#: Bands reach this many interquartile distances (of at least LEAST) beyond the quartiles; languages and scripts with fewer documents are pooled.
 WIDTH, LEAST, MIN_DOCS = 3.0, 0.02, 100
 MEASURES = ("piece_chars", "byte_chars", "fallback", "entropy")
 SLICE = 4 << 20
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, " + ", ".join(f"{m} double" for m in MEASURES)
+SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, " + ", ".join(f"{m} double" for m in MEASURES)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _loaded: dict[str, tuple] = {}
@@ -145,33 +146,51 @@ def _measured(folder: str):
         for batch in batches:
             for part, buf, offs in tx.slices(batch, limit=SLICE):
                 m = measure(buf, offs, folder)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(m[k], from_pandas=True) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", *MEASURES))], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", *MEASURES])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(m[k], from_pandas=True) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", *MEASURES))], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", *MEASURES])
 
     return run
 
 
-def bands(measured: DataFrame, *, width: float = WIDTH, least: float = LEAST, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(script, measure, low, high) from the documents that pass the base rules, by counts of values rounded to thousandths."""
-    stacked = measured.where("NOT base_failed").selectExpr("script", f"stack({len(MEASURES)}, " + ", ".join(f"'{m}', {m}" for m in MEASURES) + ") AS (measure, value)").where("value IS NOT NULL")
-    bins = stacked.groupBy("script", "measure", F.round("value", 3).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("script", "measure")
-    upto = bins.withColumn("upto", F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-    q = upto.groupBy("script", "measure").agg(F.max("all").alias("docs"), *(F.min(F.when(F.col("upto") >= F.col("all") * x, F.col("v"))).alias(name) for name, x in (("q1", 0.25), ("q3", 0.75))))
+def binned(measured: DataFrame) -> DataFrame:
+    """(script, lang, measure, v, n): counts of the values, rounded to thousandths, of the documents that pass the base rules."""
+    stacked = measured.where("NOT base_failed").selectExpr("script", "lang", f"stack({len(MEASURES)}, " + ", ".join(f"'{m}', {m}" for m in MEASURES) + ") AS (measure, value)").where("value IS NOT NULL")
+    return stacked.groupBy("script", "lang", "measure", F.round("value", 3).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bands(bins: DataFrame, keys: list[str], *, width: float = WIDTH, least: float = LEAST, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(keys, measure, low, high) of each group of bins(keys, measure, v, n) with so many documents."""
+    at = [*keys, "measure"]
+    counts = bins.groupBy(*at, "v").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*at)
+    upto = counts.withColumn("upto", F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
+    q = upto.groupBy(*at).agg(F.max("all").alias("docs"), *(F.min(F.when(F.col("upto") >= F.col("all") * x, F.col("v"))).alias(name) for name, x in (("q1", 0.25), ("q3", 0.75))))
     reach = width * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-    return q.where(F.col("docs") >= min_docs).select("script", "measure", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    return q.where(F.col("docs") >= min_docs).select(*at, (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+
+
+def limited(measured: DataFrame, bins: DataFrame, width: float) -> DataFrame:
+    """measured with the columns <measure>_low and <measure>_high: the bands of the language, else those of the script, else those of all scripts without."""
+    by_script = bands(bins, ["script"], width=width)
+    rare = bins.join(F.broadcast(by_script.select("script", "measure")), ["script", "measure"], "left_anti")
+    levels = [(["script", "lang"], bands(bins, ["script", "lang"], width=width)), (["script"], by_script), ([], bands(rare, [], width=width, min_docs=1))]
+    sides = [(m, side) for m in MEASURES for side in ("low", "high")]
+    for i, (keys, level) in enumerate(levels):
+        wide = level.groupBy(*keys).agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}_{i}") for m, side in sides))
+        measured = measured.join(F.broadcast(wide), keys, "left") if keys else measured.crossJoin(F.broadcast(wide))
+    return measured.withColumns({f"{m}_{side}": F.coalesce(*(f"{m}_{side}_{i}" for i in range(len(levels)))) for m, side in sides})
 
 
 def ruled(spark: SparkSession, docs: DataFrame, *, folder: str = VOCABULARIES, width: float = WIDTH) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, script, the measures and `outside` for every row of docs(doc_id, text).
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, script, the measures and `outside` for every row of docs(doc_id, text[, lang]).
 
-    kept: not base_failed and within all bands of its script; a measure that is undefined or
-    a script without bands rejects nothing. Null counts as empty text: no words, base_failed.
+    kept: not base_failed and within all bands of its script and lang (null or no column: one
+    language more); a measure that is undefined rejects nothing. Null counts as empty text: no words, base_failed.
     """
     scratch = Scratch(spark)
     failed = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured(folder), SCHEMA).withColumn("base_failed", F.expr(failed))
+    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang")).mapInArrow(_measured(folder), SCHEMA).withColumn("base_failed", F.expr(failed))
     measured = scratch.keep("measured", rows)
-    limits = bands(measured, width=width).groupBy("script").agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")))
-    joined = measured.join(F.broadcast(limits), "script", "left")
+    joined = limited(measured, scratch.keep("bins", binned(measured)), width)
     outside = F.array_compact(F.array(*(F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m in MEASURES)))
     return joined.withColumn("outside", outside).withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", *MEASURES, "outside")

@@ -309,6 +309,27 @@ def test_fertility(spark, corpus, nothing):
     assert fertility.ruled(spark, nothing).count() == 0
 
 
+def test_fertility_bands_by_language_and_rare_scripts(spark):
+    rng = random.Random(12)
+    rows = []
+
+    def add(lang, script, n, low, high):
+        for _ in range(n):
+            rows.append((len(rows), lang, script, rng.uniform(low, high)))
+        return len(rows) - 1
+
+    add("aa", "latin", 200, 1.9, 2.0)
+    add("bb", "latin", 200, 2.6, 2.7)
+    junk = add("bb", "latin", 1, 1.95, 1.95)  # usual in the other language
+    good = add("aa", "latin", 1, 1.95, 1.95)
+    few = add("cc", "latin", 1, 2.3, 2.3)
+    add("dd", "thai", 40, 0.9, 1.0)
+    odd = add("dd", "thai", 1, 5.0, 5.0)
+    measured = spark.createDataFrame([(i, lang, script, False, x, x, 0.0, 0.7) for i, lang, script, x in rows], "doc_id long, lang string, script string, base_failed boolean, " + ", ".join(f"{m} double" for m in fertility.MEASURES))
+    got = {r["doc_id"]: r["piece_chars_low"] <= r["piece_chars"] <= r["piece_chars_high"] for r in fertility.limited(measured, fertility.binned(measured), fertility.WIDTH).collect()}
+    assert len(got) == len(rows) and {i for i, inside in got.items() if not inside} == {junk, odd} and got[good] and got[few]
+
+
 def test_sentence_spans(spark, corpus, nothing):
     rng = random.Random(9)
     passage = " ".join(prose(rng, 12) for _ in range(5))
