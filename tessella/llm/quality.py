@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .storage import fresh
 
 U = np.uint64
 WORD_BITS = 15
@@ -123,8 +124,19 @@ def forward(w0, w, v, idx, val, at):
     return z, s
 
 
-def fit(stats: np.ndarray, words: list[np.ndarray], label: np.ndarray, seed: int = 7) -> Machine:
-    """Adam on the log loss over shuffled batches; the same rows in the same order give the same machine."""
+def gathered(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some rows (row i has values[at[i]:at[i + 1]]) one after the other, and the place in `rows` each is from."""
+    size = at[rows + 1] - at[rows]
+    end = np.cumsum(size)
+    src = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(at[rows] - (end - size), size)
+    return values[src], np.repeat(np.arange(len(rows)), size)
+
+
+def fit(stats: np.ndarray, words: np.ndarray, at: np.ndarray, label: np.ndarray, seed: int = 7) -> Machine:
+    """Adam on the log loss over shuffled batches; the same rows in the same order give the same machine.
+
+    Row i has the word buckets words[at[i]:at[i + 1]].
+    """
     rng = np.random.default_rng(seed)
     n, k = stats.shape
     edges = np.zeros((k, BINS - 1))
@@ -143,11 +155,11 @@ def fit(stats: np.ndarray, words: list[np.ndarray], label: np.ndarray, seed: int
         rate_now = RATE * (1 - epoch / EPOCHS)
         for i in range(0, n, BATCH):
             some = order[i : i + BATCH]
-            row = np.repeat(np.arange(len(some)), [len(words[j]) for j in some])
-            idx, val, at = assemble(edges, stats[some], np.concatenate([words[j] for j in some]), row)
-            z, s = forward(w0, w, v, idx, val, at)
+            bucket, row = gathered(words, at, some)
+            idx, val, ends = assemble(edges, stats[some], bucket.astype(np.int64), row)
+            z, s = forward(w0, w, v, idx, val, ends)
             err = ((1 / (1 + np.exp(-z))) - label[some]).astype(np.float32) / len(some)
-            r = np.repeat(np.arange(len(some)), np.diff(at))
+            r = np.repeat(np.arange(len(some)), np.diff(ends))
             e = err[r] * val
             used, inv = np.unique(idx, return_inverse=True)
             gw = np.bincount(inv, e, len(used)) + DECAY * w[used]
@@ -168,12 +180,26 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+TAKEN = "doc_id long, quality byte, digest long, stats binary, words binary"
+
+
 def _extract(batches):
+    """doc_id, text, n_chars, quality -> TAKEN: the statistics as doubles and the word buckets as 16-bit numbers, one row's after the other's."""
     for batch in batches:
         for part, buf, offs in tx.slices(batch):
             stats, bucket, row = features(buf, offs, tx.ints(part, "n_chars"))
-            at = tx.bounds(row, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(stats.reshape(-1)), len(STATS)).cast(pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32())), part.column(3)], ["doc_id", "stats", "words", "quality"])
+            n, at = part.num_rows, tx.bounds(row, part.num_rows)
+            digest = tx.spans(tx.prefix(buf), offs[:-1], offs[1:])
+            packed = lambda x, ends: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3).cast(pa.int8()), pa.array(digest.view(np.int64)), packed(stats, np.arange(n + 1) * 8 * len(STATS)), packed(bucket.astype(np.uint16), 2 * at)], ["doc_id", "quality", "digest", "stats", "words"])
+
+
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column one row after the other, and the n+1 offsets of its rows."""
+    offs = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64) // np.dtype(kind).itemsize
+    data = column.buffers()[2]
+    values = np.frombuffer(data, kind, int(offs[-1])) if data is not None else np.zeros(0, kind)
+    return values, offs
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -190,11 +216,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, rows: int
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("quality"))
     known = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(rows)
     taken = _slim(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "n_chars", "quality")
-    got = sorted(taken.mapInArrow(_extract, "doc_id long, stats array<double>, words array<int>, quality double").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["words"]))
-    label = np.array([r["quality"] for r in got])
-    if not len(got) or label.min() == label.max():
+    got = taken.mapInArrow(_extract, TAKEN).toArrow().combine_chunks()
+    label = got.column("quality").to_numpy().astype(np.float64)
+    if not len(label) or label.min() == label.max():
         return None
-    return fit(np.array([r["stats"] for r in got], float), [np.array(r["words"], np.int64) for r in got], label)
+    first = lambda name: got.column(name).chunk(0)
+    order = np.lexsort((got.column("digest").to_numpy(), got.column("doc_id").to_numpy()))
+    stats = _flat(first("stats"), np.float64)[0].reshape(-1, len(STATS))[order]
+    words, at = _flat(first("words"), np.uint16)
+    size = np.diff(at)[order]
+    words, _ = gathered(words, at, order)
+    del got
+    return fit(stats, words, np.concatenate([[0], np.cumsum(size)]), label[order])
 
 
 def scored(spark: SparkSession, docs: DataFrame, machine: Machine | None, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,18 +245,23 @@ def scored(spark: SparkSession, docs: DataFrame, machine: Machine | None, *, thr
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs scored at the threshold or above, all columns as they were."""
+    """The rows of docs scored at the threshold or above, all columns as they were.
+
+    Each row is scored by its own text, so repeats stay or go together; rows without id or text
+    are scored like any other. Without labels of both classes every row stays.
+    """
     model = spark.sparkContext.broadcast(train(spark, docs, labels))
     chars = F.col("n_chars") if "n_chars" in docs.columns else F.length("text")
     columns = docs.columns
-    wide = docs.withColumn("_chars", F.coalesce(chars.cast("double"), F.lit(0.0)))
+    (name,) = fresh(columns, "_chars")
+    wide = docs.withColumn(name, F.coalesce(chars.cast("double"), F.lit(0.0)))
 
     def run(batches):
         m = model.value
         for batch in batches:
             for part, buf, offs in tx.slices(batch):
                 if m is not None:
-                    part = part.filter(pa.array(m.score(*features(buf, offs, tx.ints(part, "_chars"))) >= threshold))
+                    part = part.filter(pa.array(m.score(*features(buf, offs, tx.ints(part, name))) >= threshold))
                 yield part.select(columns)
 
     return wide.mapInArrow(run, docs.schema)

@@ -9,16 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (one machine, tests), a temporary folder."""
+    """spark.checkpoint.dir of the session; where it is unset and all of Spark is one process, a temporary folder.
+
+    On a cluster no folder of one machine will do, so an unset spark.checkpoint.dir raises there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.tessella.scratch", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.tessella.scratch", found)
     return found.rstrip("/")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until none is among the columns (letter case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables of one query under the shared folder.
 
