@@ -15,23 +15,37 @@ from . import text as tx
 from .storage import Scratch
 
 U = np.uint64
-#: (sentences in a run, least words of it).
-RUNS = ((3, 10), (2, 30))
-#: A sentence of more words is cut after each LONG / 2 words, so that long passages without stops have runs as well.
-LONG = 40
-SPAN = "h long, doc_id long, at long, k int"
+#: (least sentences of a run, least words of it): a run has as many sentences as both take.
+RUNS = ((3, 10), (2, 16))
+#: A sentence of more words is cut at content, so that long passages without stops have runs as well: before each word whose hash is the smallest of its neighbours up to RADIUS words away.
+LONG, RADIUS = 24, 4
+SPAN = "h long, doc_id long, th long, at long, k int"
+#: Stands for a null id, behind all others.
+NAMELESS = (1 << 63) - 1
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _CLOSE = np.zeros(256, bool)
 _CLOSE[[ord(c) for c in "\"')]"]] = True
 
 
+def lowest(word: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Whether each hash is smaller than those of the `radius` words before it and not above those of as many after it."""
+    out = np.ones(len(word), bool)
+    for i in range(1, radius + 1):
+        out[i:] &= word[i:] < word[:-i]
+        out[:-i] &= word[:-i] <= word[i:]
+    out[:radius] = out[len(out) - radius :] = False
+    return out
+
+
 def sentences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First byte, row, number of words and hash of every sentence, and the hash's words as (first word) indices.
 
     A sentence ends with a word whose last byte, closing quotes and brackets aside, is one
     of . ! ? or the CJK full stop, at a line break, and at the end of the text. Its hash is
-    that of its words in lower case (ASCII), whatever white space lies between them.
+    that of its words in lower case (ASCII), whatever white space lies between them. Within a
+    sentence of more than LONG words the cuts depend on RADIUS words on both sides only, so
+    that equal passages are cut alike wherever they start.
     """
     low = tx.LOWER[buf]
     starts, ends, row = tx.words(low, offs)
@@ -50,8 +64,11 @@ def sentences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begin[1:] = stop[:-1] | (breaks[starts[1:]] > breaks[ends[:-1]]) | (row[1:] != row[:-1])
     first = np.flatnonzero(begin)
     size = np.diff(np.append(first, len(starts)))
+    begin |= np.repeat(size > LONG, size) & lowest(word)
+    first = np.flatnonzero(begin)
+    size = np.diff(np.append(first, len(starts)))
     inside = np.arange(len(starts)) - np.repeat(first, size)
-    begin |= (np.repeat(size, size) > LONG) & (inside % (LONG // 2) == 0)
+    begin |= np.repeat(size > 2 * LONG, size) & (inside % LONG == 0)  # one word over and over has no smallest
     first = np.flatnonzero(begin)
     size = np.diff(np.append(first, len(starts)))
     p, inv = tx.powers(len(word) + 1)
@@ -60,17 +77,17 @@ def sentences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], row[first], size, h, first
 
 
-def runs(row: np.ndarray, size: np.ndarray, h: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First sentence and hash of each run of k sentences of a row with enough words."""
-    n = len(row) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    words, total = np.zeros(n, np.int64), np.full(n, U(k))
-    for i in range(k):
-        words += size[i : i + n]
-        total += h[i : i + n] * (tx.mix(tx.STEPS[i + 1 : i + 2]) | U(1))
-    at = np.flatnonzero((row[:n] == row[k - 1 :]) & (words >= least))
-    return at, tx.mix(total[at])
+def runs(row: np.ndarray, size: np.ndarray, h: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, number of sentences and hash of each run: at least k sentences of a row, and as many as hold `least` words."""
+    n = len(row)
+    at = np.arange(n)
+    words = np.concatenate([[0], np.cumsum(size)])
+    stop = np.maximum(at + k, np.searchsorted(words, words[:-1] + least))
+    at = np.flatnonzero((stop <= n) & (row[np.minimum(stop, n) - 1] == row)) if n else at
+    stop = stop[at]
+    p, inv = tx.powers(n + 1)
+    pre = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p[:n])])
+    return at, stop - at, tx.mix((pre[stop] - pre[at]) * inv[at] + U(least))
 
 
 def _spans(batches):
@@ -78,18 +95,18 @@ def _spans(batches):
         for part, buf, offs in tx.slices(batch):
             start, row, size, h, _ = sentences(buf, offs)
             base = tx.bounds(row, part.num_rows)
-            ids = tx.ints(part, "doc_id")
+            ids, th = tx.ints(part, "doc_id"), tx.ints(part, "th")
             for k, least in RUNS:
-                at, key = runs(row, size, h, k, least)
+                at, count, key = runs(row, size, h, k, least)
                 # a run seen before in the same text is removed wherever the first is; only the first joins
                 order = np.lexsort((at, key, row[at]))
                 k1, r1 = key[order], row[at][order]
                 first = np.ones(len(order), bool)
                 first[1:] = (k1[1:] != k1[:-1]) | (r1[1:] != r1[:-1])
                 keep = np.sort(order[first])
-                at, key = at[keep], key[keep]
+                at, count, key = at[keep], count[keep], key[keep]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row[at]]), pa.array(at - base[row[at]]), pa.array(np.full(len(at), k, np.int32))], ["h", "doc_id", "at", "k"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row[at]]), pa.array(th[row[at]]), pa.array(at - base[row[at]]), pa.array(count.astype(np.int32))], ["h", "doc_id", "th", "at", "k"])
 
 
 def _cut(batches):
@@ -100,14 +117,14 @@ def _cut(batches):
             base = tx.bounds(row, part.num_rows)
             edge = np.zeros(n + 1, np.int64)
             for k, least in RUNS:  # later copies within the text
-                at, key = runs(row, size, h, k, least)
+                at, count, key = runs(row, size, h, k, least)
                 order = np.lexsort((at, key, row[at]))
                 k1, r1 = key[order], row[at][order]
                 again = np.zeros(len(order), bool)
                 again[1:] = (k1[1:] == k1[:-1]) & (r1[1:] == r1[:-1])
-                at = at[order][again]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + k, -1)
+                again = order[again]
+                np.add.at(edge, at[again], 1)
+                np.add.at(edge, at[again] + count[again], -1)
             where = part.column(part.schema.get_field_index("where"))
             lists = where.to_pylist()
             for i, found in enumerate(lists):
@@ -130,19 +147,22 @@ def _cut(batches):
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_removed_words, text for every row of docs(doc_id, text).
 
-    Of equal runs the first stays: that of the smallest doc_id, there the first in the text.
+    Of equal runs the first stays: that of the smallest doc_id (rows without id come last), of
+    rows of one id that of the smallest xxhash64 of the text, there the first in the text.
     Sentences that another of them covers are cut from the text with the white space behind
-    them. A null text stays null; texts without words have no sentence. Rows that repeat an
-    id are one place: a run of theirs is removed where another id comes first, or where it
-    comes again within its own row.
+    them. A run has three sentences or more, as many as hold ten words, or two or more for sixteen;
+    what no such run covers is never removed. A null text stays null; texts without words have no sentence.
+    Rows of one id and one text are one place: copies among themselves stay.
 
-    Runs shuffle as (hash, id): minima combine before the shuffle, and a run that many
-    documents share is a hot key of a plain join, which adaptive execution can split.
+    Runs shuffle as (hash, id, text hash): minima combine before the shuffle, and a run that
+    many documents share is a hot key of a plain join, which adaptive execution can split.
     """
     scratch = Scratch(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = slim.where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_spans, SPAN)
-    firsts = scratch.keep("firsts", found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h", "first"))
-    others = found.join(firsts, "h").where("doc_id <> first").select("doc_id", "at", "k").distinct()
-    by_doc = others.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "k"))).alias("where"))
-    return slim.join(by_doc, "doc_id", "left").select("doc_id", "text", "where").mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, n_removed_words long, text string")
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    found = slim.where("text IS NOT NULL").mapInArrow(_spans, SPAN)
+    place = F.struct("doc_id", "th")
+    firsts = scratch.keep("firsts", found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first"))
+    others = found.join(firsts, "h").where("doc_id <> first.doc_id OR th <> first.th").select("doc_id", "th", "at", "k").distinct()
+    by_doc = others.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("at", "k"))).alias("where"))
+    cut = slim.join(by_doc, ["doc_id", "th"], "left").select("doc_id", "text", "where").mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, n_removed_words long, text string")
+    return cut.withColumn("doc_id", F.expr(f"nullif(doc_id, {NAMELESS}L)"))
