@@ -186,11 +186,50 @@ def test_decontamination(spark, nothing):
     for block in (decontaminate.BLOCK_TOKENS, 20):
         got = decontaminate.contaminated(spark, df, bench, block_tokens=block)
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(0, 0), (1, 0), (2, 0), (4, 2)}
-    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(spark, df, bench).collect()) == [3, 5, 6, 7, 8]
+        assert sorted(r["doc_id"] for r in decontaminate.decontaminate(spark, df, bench, block_tokens=block).collect()) == [3, 5, 6, 7, 8]
     assert decontaminate.contaminated(spark, nothing, bench).count() == 0
     assert decontaminate.contaminated(spark, df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_is_brute_force(spark):
+    rng = random.Random(15)
+    vocabulary = [f"t{i}" for i in range(40)]
+    items = [" ".join(rng.choices(vocabulary, k=n)) for n in (30, 22, 14, 13, 9, 6, 3, 1)]
+    docs = []
+    for _ in range(120):
+        t = rng.choices(vocabulary, k=rng.randint(0, 40))
+        for item in rng.sample(items, 2):
+            w = item.split()
+            a = rng.randrange(max(1, len(w) - 13))
+            w = w[a : a + rng.randint(10, 30)]
+            for _ in range(rng.randint(0, len(w) // 4)):
+                w[rng.randrange(len(w))] = "other"
+            t[rng.randint(0, len(t)) :] = [*w, rng.choice(["\n", "end"])] + t[rng.randint(0, len(t)) :]
+        docs.append((rng.choice([None, len(docs)]), " ".join(t)))
+    docs += [(7, "x\n" + items[6].upper() + "!\ny"), (7, "x " + items[6]), (None, items[7])]
+    want = Counter()
+    for i, text in docs:
+        t, lines = text.lower().split(), [tuple(x.replace("!", " ").lower().split()) for x in text.split("\n")]
+        for k, item in enumerate(items):
+            w = item.split()
+            found = False
+            if len(w) < 5:
+                found = tuple(w) in lines
+            else:
+                for shift in range(-len(w), len(t)):
+                    lo, hi = max(0, -shift), min(len(w), len(t) - shift)
+                    match = np.concatenate([[0], np.cumsum([t[shift + p] == w[p] for p in range(lo, hi)])]).astype(int)
+                    n = len(match)
+                    found |= any((match[b] - match[a] == len(w)) if len(w) < 13 else 10 * (match[b] - match[a]) >= 8 * (b - a) for a in range(n) for b in range(a + min(13, len(w)), n))
+            want[i, k] += found
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for block in (decontaminate.BLOCK_TOKENS, 20):
+        got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark, df, bench, block_tokens=block).collect())
+        assert got == +want
+    clashing = df.selectExpr("doc_id", "text", "doc_id AS item_id", "text AS th")
+    assert decontaminate.decontaminate(spark, clashing, bench).columns == clashing.columns
+
+
 def test_quality_learns_structure(spark, corpus, nothing):
     rng = random.Random(8)
     good = [prose(rng, rng.randint(20, 120)) for _ in range(300)]
