@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.session import importable
-from . import decontaminate, fertility, language, lm, minhash, mixing, quality, sentences, shards, suffixes
+from . import decontaminate, fertility, language, lm, minhash, mixing, oracles, quality, sentences, shards, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,5 +71,8 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_deep_shallow": oracles.repeated_bytes(),
         "op8_raked_mixture": mixing.oracle(),
+        "op9_superminhash": oracles.near_duplicates(),
+        "op10_interleave": oracles.interleaved(),
     }

@@ -15,65 +15,74 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, fresh
 
-#: Hash ranges per source and of the global order; a range holds rows / RANGES of a source, so raise it with the table.
-RANGES = 256
+#: Rows of a source in a hash range, and of the global order in a stretch of it, about: what one window sorts.
+RANGE_ROWS = 200_000
 
 
 def _ranked(df: DataFrame, group: list[str], ranges: str, order: list, out: str, scratch: Scratch, name: str) -> DataFrame:
     """df with `out`: the rank from 0 of each row in its group by (ranges, order)."""
     keys = [*group, ranges]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    n, r, before = fresh(df.columns, "_n", "_r", "_before")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
     w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(ranges).rowsBetween(Window.unboundedPreceding, -1)
-    before = scratch.keep(name, counts.select(*keys, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before")))
+    offsets = scratch.keep(name, counts.select(*keys, F.coalesce(F.sum(n).over(w), F.lit(0)).alias(before)))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn("_r", rank).join(before, keys).withColumn(out, (F.col("_r") + F.col("before")).cast("long")).drop("_r", "before")
+    return df.withColumn(r, rank).join(offsets, keys).withColumn(out, (F.col(r) + F.col(before)).cast("long")).drop(r, before)
 
 
-def interleave(rows: DataFrame, shards: int, *, seed: str = "shards", ranges: int = RANGES, id_col: str = "doc_id", source_col: str = "source", ties: tuple[str, ...] = ()) -> DataFrame:
+def interleave(rows: DataFrame, shards: int, *, seed: str = "shards", ranges: int | None = None, id_col: str = "doc_id", source_col: str = "source", ties: tuple[str, ...] = ()) -> DataFrame:
     """rows with `shard` (0 to shards - 1) and `slot` (gapless from 0 in its shard); all columns are carried, so pass narrow rows.
 
     Null sources are a source of their own. Rows that repeat an id lie next to each other in
-    the shuffle; `ties` orders them, and rows equal in those too are interchangeable. An
-    empty table gives an empty result; with fewer rows than shards some shards stay empty.
+    the shuffle, null ids as one id; `ties` orders them, and rows equal in those too are
+    interchangeable. An empty table gives an empty result; with fewer rows than shards some
+    shards stay empty. `ranges` (by default one for about RANGE_ROWS rows) changes only how the
+    work is split. Rows that share an id beyond that number are sorted in one task.
     """
     scratch = Scratch(rows.sparkSession)
+    s, h, b, i, n, f, p = fresh(rows.columns, "_s", "_h", "_b", "_i", "_n", "_f", "_p")
+    total = rows.count()
+    ranges = ranges or max(64, -(-total // RANGE_ROWS))
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")).cast("binary"))
-    order = ["_h", id_col, *ties]
-    start = rows.withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))).withColumn("_h", digest)
-    start = start.withColumn("_b", F.expr(f"cast(cast(conv(substring(_h, 1, 8), 16, 10) as long) * {ranges}L div 4294967296L as int)"))
-    inner = scratch.keep("within", _ranked(start, ["_s"], "_b", order, "_i", scratch, "sources"))
-    totals = scratch.keep("totals", inner.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")))
-    n = totals.agg(F.sum("_n")).first()[0] or 0
-    parted = inner.join(totals, "_s").withColumn("_f", (F.col("_i") + 0.5) / F.col("_n")).withColumn("_b", F.floor(F.col("_f") * ranges).cast("int"))
-    placed = _ranked(parted, [], "_b", ["_f", "_h", "_s", id_col, *ties], "_p", scratch, "order")
-    placed = placed.withColumn("shard", F.expr(f"cast((_p * {shards}L) div {max(n, 1)}L as int)"))
-    return placed.withColumn("slot", F.expr(f"_p - (shard * {n}L + {shards - 1}L) div {shards}L")).drop("_s", "_h", "_b", "_i", "_n", "_f", "_p")
-
-
-def shard_documents(docs: DataFrame, shards: int, *, seed: str = "shards", ranges: int = RANGES) -> DataFrame:
+    order = [h, id_col, *ties]
+    start = rows.withColumn(s, F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))).withColumn(h, digest)
+    start = start.withColumn(b, F.expr(f"cast(cast(conv(substring({h}, 1, 8), 16, 10) as long) * {ranges}L div 4294967296L as int)"))
+    inner = scratch.keep("within", _ranked(start, [s], b, order, i, scratch, "sources"))
+    totals = scratch.keep("totals", inner.groupBy(s).agg(F.count(F.lit(1)).alias(n)))
+    parted = inner.join(totals, s).withColumn(f, (F.col(i) + 0.5) / F.col(n)).withColumn(b, F.floor(F.col(f) * ranges).cast("int"))
+    placed = _ranked(parted, [], b, [f, h, s, id_col, *ties], p, scratch, "order")
+    placed = placed.withColumn("shard", F.expr(f"cast(({p} * {shards}L) div {max(total, 1)}L as int)"))
+    return placed.withColumn("slot", F.expr(f"{p} - (shard * {total}L + {shards - 1}L) div {shards}L")).drop(s, h, b, i, n, f, p)
+
+
+def shard_documents(docs: DataFrame, shards: int, *, seed: str = "shards", ranges: int | None = None) -> DataFrame:
     """docs (with doc_id and source) with shard and slot; any other columns are kept, a former `shard` or `slot` is replaced.
 
     The texts move once: places are found on narrow rows and joined. Rows that repeat an id
-    are told apart by a digest of their columns and a number, found only if there are any.
+    are told apart by a digest of their columns and a number, found only if there are any;
+    rows without id are one id.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = docs.drop("shard", "slot", "_key")
-    repeats = scratch.keep("repeats", docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL").limit(1))
+    docs = docs.drop("shard", "slot")
+    key, d, k, c = fresh(docs.columns, "_key", "_d", "_k", "_c")
+    repeats = scratch.keep("repeats", docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias(c)).where(f"{c} > 1").limit(1))
     if repeats.isEmpty():
-        keyed = docs.withColumn("_key", F.lit(0))
+        keyed = docs.withColumn(key, F.lit(0))
     else:
-        keyed = scratch.keep("keyed", docs.withColumn("_key", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))))
-    placed = interleave(keyed.select("doc_id", "_key", "source"), shards, seed=seed, ranges=ranges, ties=("_key",))
-    places = placed.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "shard", "slot")
-    return keyed.join(places, F.expr("doc_id <=> _d AND _key = _k")).select(*docs.columns, "shard", "slot")
+        keyed = scratch.keep("keyed", docs.withColumn(key, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))))
+    placed = interleave(keyed.select("doc_id", key, "source"), shards, seed=seed, ranges=ranges, ties=(key,))
+    places = placed.select(F.col("doc_id").alias(d), F.col(key).alias(k), "shard", "slot")
+    return keyed.join(places, F.expr(f"doc_id <=> {d} AND {key} = {k}")).select(*docs.columns, "shard", "slot")
 
 
-def shard_report(docs: DataFrame, shards: int = 40, *, seed: str = "shards", ranges: int = RANGES) -> DataFrame:
+def shard_report(docs: DataFrame, shards: int = 40, *, seed: str = "shards", ranges: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; law `rows`: counts differ by one at most.
 
-    size is the UTF-8 bytes of the text plus 16 (null: 16), text_crc32 that of the bytes (null: of none).
+    size is the UTF-8 bytes of the text plus 16 (null: 16), text_crc32 that of the bytes (null:
+    of none). Equal texts are no unit of this law: each row has its own place in the
+    interleaving, so copies spread over the shards like other rows.
     """
     binary = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", "source", (F.octet_length(binary) + 16).cast("long").alias("size"), F.crc32(binary).alias("text_crc32"))
