@@ -242,7 +242,8 @@ def identified(spark: SparkSession, docs: DataFrame, speaker: Speaker | None) ->
     """doc_id, held_out, lang_pred, score for every row of docs(doc_id, text).
 
     lang_pred is the language of most bytes of words with letters (ties: the first by name),
-    score their share; `und` with score 0 where text is null or has no letter, or nothing was learned.
+    score their share; `und` with score 0 where text is null or has no letter (Unicode category L), or nothing was
+    learned. Each row is judged by its own text; ids may repeat or be null.
     """
     model = spark.sparkContext.broadcast(speaker)
 
@@ -286,14 +287,14 @@ def spans(spark: SparkSession, docs: DataFrame, speaker: Speaker | None) -> Data
                 begin = np.where(np.append(False, r[1:] == r[:-1]), starts[at], offs[r]) if len(r) else at
                 stop = np.where(same, starts[np.minimum(after, len(starts) - 1)], offs[r + 1]) if len(r) else at
                 # positions are of the lower-cased text; characters are counted to cut the text itself
-                ids, raw, lower = tx.ints(part, "doc_id"), part.column(part.schema.get_field_index("text")).to_pylist(), low.tobytes()
+                ids, raw, lower = part.column(0).to_pylist(), part.column(part.schema.get_field_index("text")).to_pylist(), low.tobytes()
                 out, number, seen = [], 0, -1
                 for d, a, b, lab in zip(r.tolist(), begin.tolist(), stop.tolist(), label[at].tolist()):
                     number = number + 1 if d == seen else 0
                     seen = d
                     i, j = (len(lower[offs[d] : x].decode("utf-8")) for x in (a, b))
-                    out.append((int(ids[d]), number, m.langs[lab], raw[d][i:j]))
+                    out.append((ids[d], number, m.langs[lab], raw[d][i:j]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["doc_id", "span", "lang", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "span", "lang", "text"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, span long, lang string, text string")

@@ -70,7 +70,7 @@ def mixed(docs: DataFrame, *, seed: str = "mix", rate: float = RATE, powers: dic
     marginals except where a cell would need more than all its documents. Rows that repeat
     an id are kept or left together; a null id counts as the empty string. Empty texts weigh
     nothing and are kept at `rate`. The rounds are fixed: targets on data without some
-    combinations may be met only nearly.
+    combinations may be met only nearly; margins() says how nearly.
     """
     scratch = Scratch(docs.sparkSession)
     facts = scratch.keep("facts", described(docs, topic))
@@ -83,6 +83,22 @@ def mixed(docs: DataFrame, *, seed: str = "mix", rate: float = RATE, powers: dic
     return joined.withColumn("probability", p).select("doc_id", *DIMS, "n_tokens", "probability", (draw < F.col("probability")).alias("kept"))
 
 
+def margins(mixed_docs: DataFrame, powers: dict[str, float] = POWERS) -> DataFrame:
+    """dim, value, target, expected: for each value of each dimension the tempered target share of the tokens and the share that the probabilities of mixed() give.
+
+    They differ where a probability is clipped at 1, or where the rounds have not settled.
+    """
+    out = None
+    whole = mixed_docs.agg(F.sum("n_tokens").alias("_all"), F.sum(F.col("n_tokens") * F.col("probability")).alias("_got"))
+    for d in DIMS:
+        cells = mixed_docs.groupBy(F.col(d).alias("value")).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("probability")).alias("got"))
+        cells = cells.crossJoin(F.broadcast(whole)).withColumn("p", F.when(F.col("n") > 0, F.pow(F.col("n") / F.col("_all"), F.lit(float(powers[d])))).otherwise(0.0))
+        cells = cells.crossJoin(F.broadcast(cells.agg(F.sum("p").alias("_p"))))
+        part = cells.select(F.lit(d).alias("dim"), "value", (F.col("p") / F.expr("nullif(_p, 0)")).alias("target"), (F.col("got") / F.expr("nullif(_got, 0)")).alias("expected"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def sampled(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that mixed() keeps. Ids with rows of several cells count as kept where any of their rows is."""
     keep = mixed(docs, **options).where("kept").select("doc_id").distinct()

@@ -1,7 +1,10 @@
-"""Scripts of words by ranges of code points."""
+"""Scripts of letters by ranges of code points. A letter is a character of a Unicode category L."""
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 
 #: First code point of each range and the script it belongs to ('' for none), from the Unicode block list.
@@ -17,12 +20,23 @@ RANGES = (
     (0xFF41, "latin"), (0xFF5B, ""), (0xFF66, "kana"), (0xFFA0, ""), (0x10000, "other"), (0x1F000, ""), (0x20000, "han"), (0x32000, ""),
 )
 NAMES = sorted({name for _, name in RANGES})
-NONE = NAMES.index("")
+NONE, OTHER = NAMES.index(""), NAMES.index("other")
 _FIRST = np.array([a for a, _ in RANGES])
 _NAME = np.array([NAMES.index(b) for _, b in RANGES])
 _PAD = np.zeros(3, np.uint8)
 
 
+@functools.cache
+def of_code_points() -> np.ndarray:
+    """Script number of every code point: NONE for what is no letter, OTHER for letters outside the named ranges."""
+    code = np.arange(0x110000)
+    script = _NAME[np.searchsorted(_FIRST, code, "right") - 1].astype(np.uint8)
+    letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in code.tolist()), bool, len(code))
+    script[letter & (script == NONE)] = OTHER
+    script[~letter] = NONE
+    return script
+
+
 def characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte position and script number of every character of well-formed UTF-8."""
     at = np.flatnonzero((buf & 0xC0) != 0x80)
@@ -35,12 +49,7 @@ def characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for i in range(1, n + 1):
             value = (value << 6) | (b[at[some] + i] & 0x3F)
         code[some] = value
-    script = np.empty(len(code), np.int64)
-    ascii_ = code < 128
-    table = _NAME[np.searchsorted(_FIRST, np.arange(128), "right") - 1]
-    script[ascii_] = table[code[ascii_]]
-    script[~ascii_] = _NAME[np.searchsorted(_FIRST, code[~ascii_], "right") - 1]
-    return at, script
+    return at, of_code_points()[code].astype(np.int64)
 
 
 def of_spans(buf: np.ndarray, starts: np.ndarray, n: int, group: np.ndarray) -> np.ndarray:

@@ -268,6 +268,16 @@ def test_viterbi_is_the_best_path():
             assert score[np.arange(a, b), p].sum() - 4.0 * (p[1:] != p[:-1]).sum() == pytest.approx(v.max(), abs=1e-2)
 
 
+def test_letters_are_those_of_unicode():
+    import unicodedata
+
+    from tessella.llm import scripts
+
+    chars = "aZ1\u0660\u0966\u0e50\u2102\u3005\u00aa\u0301é漢字ж!\u02b0\U00020000\U0001f600"
+    at, script = scripts.characters(np.frombuffer(chars.encode(), np.uint8))
+    assert len(at) == len(chars) and [x != scripts.NONE for x in script] == [unicodedata.category(c)[0] == "L" for c in chars]
+
+
 def test_languages(spark, corpus, nothing):
     rng = random.Random(4)
     words = {"aa": "bal dom kir tun".split(), "bb": "ésh öry wex qui".split(), "ru": "да нет мир дом".split()}
@@ -390,6 +400,8 @@ def test_mixture(spark, corpus, nothing):
     raked = mixing.rake(cells, Scratch(spark), {"source": 0.0, "lang": 0.5, "topic": 1.0}, 30).join(cells, ["source", "lang", "topic"]).toPandas()
     w = raked["factor"] * raked["tokens"]
     assert w.groupby(raked["source"]).sum().tolist() == pytest.approx([w.sum() / 2] * 2) and w.sum() == pytest.approx(raked["tokens"].sum())
+    for r in mixing.margins(mixing.mixed(df, rate=0.01)).collect():
+        assert r["expected"] == pytest.approx(r["target"], abs=0.02), r
     assert mixing.mixed(nothing).count() == 0 and mixing.sampled(df.withColumnRenamed("n_chars", "probability")).columns[-1] == "probability"
 
 
