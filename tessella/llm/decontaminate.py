@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tables
 from . import text as tx
 from .storage import Scratch
 
@@ -28,8 +29,6 @@ MIN_SHARE = 0.8
 SHORTEST = 5
 #: Benchmark tokens up to which the index goes to every task, about 110 bytes each; seeds of a larger benchmark are joined.
 BLOCK_TOKENS = 500_000
-#: Bits of the map of benchmark seeds that documents' seeds pass before a join.
-MAP_BITS = 26
 FOUND = "doc_id long, item_id long, start long, n_overlap long, n_matched long, coverage double"
 
 SEPARATORS = np.ones(256, bool)
@@ -238,7 +237,6 @@ def _document_seeds(known):
     """mapInArrow function: doc_id, th, text -> h, doc_id, th, at, n: the seeds that the benchmark may have; lines of short items have n > 0."""
 
     def run(batches):
-        bits = np.frombuffer(known.value, np.uint8)
         for batch in batches:
             for part, _, _ in tx.slices(batch):
                 column = part.column(2)
@@ -250,8 +248,7 @@ def _document_seeds(known):
                         r, at, n = row[at], at - doc[row[at]], np.zeros(len(at), np.int64)
                     else:
                         h, r, at, n = line_hashes(column)
-                    slot = (h >> U(64 - MAP_BITS)).astype(np.int64)
-                    some = np.flatnonzero((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+                    some = np.flatnonzero(tables.in_bitmap(known.value, h))
                     if len(some):
                         take = pa.array(r[some])
                         yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(at[some]), pa.array(n[some])], ["h", "doc_id", "th", "at", "n"])
@@ -280,25 +277,11 @@ def _compared(min_tokens: int, share: float):
     return run
 
 
-def _packed(batches):
-    """part, on (places below 4096) -> part, bits (512 bytes)."""
-    for batch in batches:
-        bits = np.zeros((batch.num_rows, 4096), np.uint8)
-        lists = batch.column(1)
-        bits[np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()] = 1
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], ["part", "bits"])
-
-
 def _joined(spark: SparkSession, docs: DataFrame, items: DataFrame, min_tokens: int, share: float) -> DataFrame:
     """FOUND for a benchmark of any size: hashes of both sides are joined, and the texts of each pair that met compared."""
     scratch = Scratch(spark)
     known = scratch.keep("seeds", items.mapInArrow(_benchmark_seeds(min_tokens), "h long, item_id long, pos long"))
-    slot = F.expr(f"shiftrightunsigned(h, {64 - MAP_BITS})")
-    parts = known.select(slot.alias("slot")).groupBy(F.expr("slot div 4096").alias("part")).agg(F.collect_set(F.expr("cast(slot % 4096 as int)")).alias("on"))
-    bits = np.zeros((1 << MAP_BITS) // 4096 * 512, np.uint8).reshape(-1, 512)
-    got = parts.mapInArrow(_packed, "part long, bits binary").toArrow()
-    bits[got.column("part").to_numpy()] = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(-1, 512)
-    packed = spark.sparkContext.broadcast(bits.tobytes())
+    packed = spark.sparkContext.broadcast(tables.bitmap(known, F.col("h")))
     texts = docs.withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text")
     seen = texts.mapInArrow(_document_seeds(packed), "h long, doc_id long, th long, at long, n long")
     met = seen.join(known, "h").where("(n > 0) = (pos < 0)")
@@ -335,7 +318,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
 
     A benchmark of up to block_tokens tokens goes to every task as an index, and the documents
     aren't shuffled. Seeds of a larger one are joined with those seeds of the documents that a
-    map of 2**MAP_BITS bits lets pass, and only texts of pairs that meet are moved.
+    bitmap of fixed size lets pass, and only texts of pairs that meet are moved.
     """
     items, small = _items(benchmark, block_tokens)
     docs = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")

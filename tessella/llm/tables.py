@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 4096
@@ -43,3 +44,33 @@ def whole(found: dict[int, np.ndarray], size: int) -> np.ndarray:
     for i, x in found.items():
         table[i * CHUNK : i * CHUNK + len(x)] = x
     return table
+
+
+#: Bits of a bitmap of hashes, whatever their number.
+MAP_BITS = 26
+
+
+def _packed(batches):
+    """part, on (places below 4096) -> part, bits (512 bytes)."""
+    for batch in batches:
+        bits = np.zeros((batch.num_rows, 4096), np.uint8)
+        lists = batch.column(1)
+        bits[np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()] = 1
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], ["part", "bits"])
+
+
+def bitmap(df: DataFrame, h: Column) -> bytes:
+    """A map of 2**MAP_BITS bits (8 MB) with the bit of each 64-bit hash set, by its high bits."""
+    slot = F.shiftrightunsigned(h, 64 - MAP_BITS)
+    parts = df.select(slot.alias("slot")).groupBy(F.expr("slot div 4096").alias("part")).agg(F.collect_set(F.expr("cast(slot % 4096 as int)")).alias("on"))
+    bits = np.zeros(((1 << MAP_BITS) // 4096, 512), np.uint8)
+    got = parts.mapInArrow(_packed, "part long, bits binary").toArrow()
+    if got.num_rows:
+        bits[got.column("part").to_numpy()] = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(-1, 512)
+    return bits.tobytes()
+
+
+def in_bitmap(bits: bytes, h: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash (uint64) is set."""
+    slot = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return ((np.frombuffer(bits, np.uint8)[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)

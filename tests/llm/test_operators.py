@@ -134,6 +134,52 @@ def test_near_duplicates(spark, corpus, nothing):
     assert minhash.one_of_each(spark, df).count() == sum(v[2] for v in want.values())
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(14)
+    a, b = prose(rng, 60), prose(rng, 60)
+    docs = [(1, a, "p"), (1, b, "q"), (2, a + " x", "r"), (3, b + " y", "s"), (None, a, "t"), (None, None, "u"), (None, "two words", "v"), (None, "two words", "w"), (5, "", "x"), (1, a, "y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _id string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(spark, df).collect())
+    assert got == sorted([(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (0, 1, False), (0, 0, True), (0, 0, True), (0, 0, True), (5, 5, True)])
+    one = minhash.one_of_each(spark, df)
+    assert one.columns == df.columns and sorted((r["doc_id"] or 0, r["text"]) for r in one.where("text IS NOT NULL").collect()) == sorted([(0, "two words"), (1, a), (1, b), (5, "")])
+
+
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(16)
+    base = prose(rng, 150).split()
+    docs = []
+    for i in range(250):
+        w = list(base)
+        for p in rng.sample(range(len(w)), rng.randint(0, 14)):
+            w[p] = rng.choice(["of", "to", "new" + str(rng.random())])
+        docs.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in docs]
+    up = list(range(len(docs)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            x, y = sorted((find(i), find(j)))
+            up[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: find(i) for i in range(len(docs))} and len(set(got.values())) > 20
+
+
+def test_parity_maps_bound_the_difference():
+    rng = random.Random(17)
+    texts = [" ".join(rng.choices(SYLLABLES, k=rng.randint(1, 400))) for _ in range(20)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(20)), "text": texts})
+    maps = [np.array(x, np.int64).view(np.uint64) for b in minhash.parities(5)([batch]) for x in b.column(1).to_pylist()]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in texts]
+    for i, j in itertools.combinations(range(20), 2):
+        assert int(np.bitwise_count(maps[i] ^ maps[j]).sum()) <= len(sets[i] ^ sets[j])
+
+
 def test_every_two_substitutions_leave_a_hit():
     for lost in itertools.combinations(range(decontaminate.MIN_TOKENS), 2):
         assert any(all(m[p - o] == "0" for p in lost if 0 <= p - o < len(m)) for m in decontaminate.MASKS for o in range(decontaminate.MIN_TOKENS - len(m) + 1))
@@ -303,16 +349,13 @@ def test_lm_base_counts_and_gain(spark, corpus, nothing):
     want = {}
     for i, x, *_ in rows:
         t = toks(x)
-        a = want.setdefault(i, [held[i], 0, 0, n, 0.0])
-        a[1] += len(t)
-        a[2] += sum(c[w] > 0 for w in t)
-        a[4] += sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-    got = lm.scored(spark, df).collect()
-    for r in got:
-        a = want[r["doc_id"]]
-        assert [r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]] == a[:4] and r["base_score"] == pytest.approx(a[4]) and r["score"] < 0
-    assert len(got) == len(want)
+        want.setdefault(i, []).append((held[i], len(t), sum(c[w] > 0 for w in t), n, pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))))
+    got = lm.scored(spark, df)
+    assert by_id(got, "held_out", "n_tokens", "n_known", "train_tokens", "base_score") == want
+    assert all(r["score"] < 0 and (r["bits_per_byte"] is None) == (not dict((i, x) for i, x, *_ in rows)[r["doc_id"]]) for r in got.collect())
     assert lm.scored(spark, nothing).count() == 0
+    odd = spark.createDataFrame([(None, "one two"), (None, "three"), (None, None), (7, "one two"), (7, "other"), (7, "other")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in lm.scored(spark, odd).collect()) == [(0, 1), (0, 2), (0, 3), (7, 2), (7, 2), (7, 3)]
 
 
 def test_lm_score_spells_unseen_words(spark):
@@ -323,17 +366,76 @@ def test_lm_score_spells_unseen_words(spark):
     got = {r["doc_id"]: r for r in lm.scored(spark, spark.createDataFrame(docs, "doc_id long, text string")).where("held_out").collect()}
     one = [got[i] for i in held]
     assert [r["n_tokens"] - r["n_known"] for r in one] == [1] * 4
-    bits = [r["bits_per_byte"] * len(w) for r, w in zip(one, unseen)]
-    for r, b in zip(one, bits):
-        assert r["score"] - one[0]["score"] == pytest.approx((bits[0] - b) * math.log10(2))
-    assert one[1]["score"] < one[0]["score"] - 5
+    assert all(r["bits_per_byte"] * len(w) * math.log10(2) == pytest.approx(-r["score"]) for r, w in zip(one, unseen))
+    assert one[1]["score"] < one[0]["score"] - 5 and one[2]["score"] > one[0]["score"]
+
+
+def test_lm_knows_longer_texts(spark):
+    rng = random.Random(11)
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1]
+    passage = prose(rng, 300)
+    docs = [(i, prose(rng, 300)) for i in range(100)]
+    docs[held[0]] = (held[0], prose(rng, 20) + " " + passage)
+    learned = next(i for i in range(100) if i not in held)
+    docs[learned] = (learned, passage + " " + prose(rng, 20))
+    twice = [i for i in range(100) if i not in held][5:7]
+    docs[twice[1]] = (twice[1], docs[twice[0]][1])
+    got = {r["doc_id"]: r["bits_per_byte"] for r in lm.scored(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    usual = sorted(x for i, x in got.items() if i not in (held[0], learned, *twice))
+    assert max(got[held[0]], got[twice[0]], got[twice[1]]) < 0.75 * usual[5] and got[twice[0]] == pytest.approx(got[twice[1]])
+
+
+def test_lm_successors_are_brute_force(spark):
+    rng = random.Random(12)
+    parts = [prose(rng, 40) for _ in range(6)]
+    docs = [(i, " ".join(rng.choices(parts, k=rng.randint(0, 6)))) for i in range(40)] + [(41, None), (41, "a"), (None, " ".join(parts))]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+
+    def cut(text):
+        buf, offs = tx.utf8(pa.array([text or ""]))
+        low = tx.LOWER[buf]
+        s, e, row = tx.words(low, offs)
+        first, r, number, h = lm.segments(tx.spans(tx.prefix(low), s, e), row)
+        assert (np.diff(np.append(first, len(s))) <= lm.LONGEST).all() and number.tolist() == list(range(len(h)))
+        return h.tolist()
+
+    cuts = [(i, t, cut(t)) for i, t in docs]
+    total = Counter(pair for i, _, h in cuts if not held(i) for pair in zip(h, h[1:]))
+    want = {}
+    for i, t, h in cuts:
+        pairs = list(zip(h, h[1:]))
+        own, found = Counter(pairs) if not held(i) else Counter(), []
+        for k, (p, s) in enumerate(pairs):
+            known = Counter(total)
+            known.subtract(own)
+            known.update(pairs[:k])
+            n = sum(c for (q, _), c in known.items() if q == p)
+            if n > 0:
+                found.append((k + 1, n, known[p, s]))
+        if found:
+            want[i, t] = found
+    from tessella.llm.storage import Scratch
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", F.xxhash64("text"))
+    got = lm.successors(spark, df, Scratch(spark)).join(df.withColumnRenamed("doc_id", "id"), "th").where("id <=> doc_id").collect()
+    assert {(r["id"], r["text"]): [tuple(e) for e in r["events"]] for r in got} == want
 
 
-def test_lm_classes_share_one_probability():
-    bits = np.random.default_rng(1).dirichlet(np.ones(50))
-    for new, n in ((0.1, 30), (0.7, 3)):
-        a, b = lm.class_logs(new, float(bits[:n].sum()))
-        assert (bits[:n] * 10**a).sum() == pytest.approx(1 - new) and (bits[n:] * 10**b).sum() == pytest.approx(new)
+def test_lm_successor_bits():
+    rng = np.random.default_rng(3)
+    row = np.sort(rng.integers(0, 6, 60))
+    number = np.arange(60) + rng.integers(0, 2, 60).cumsum()
+    n, hit = rng.integers(1, 400, 60), rng.integers(0, 2, 60)
+    for i, cell in enumerate(lm.cells(number, n, hit, row).tolist()):
+        before = [k for k in range(i) if row[k] == row[i]][-2:][::-1]
+        one, two = ([hit[k] + 1 for k in before] + [0, 0])[:2]
+        near = bool(before) and number[before[0]] == number[i] - 1
+        assert cell == ((one * 3 + two) * lm.MAGNITUDES + min(int(math.log2(n[i])), lm.MAGNITUDES - 1)) * 2 + near
+    counts = rng.integers(0, 5000, (lm.CELLS, 2))
+    bits = lm.bit_costs(counts)
+    assert (2.0**-bits).sum(axis=1) == pytest.approx(np.ones(lm.CELLS)) and np.abs(2.0 ** -bits[:, 1] - counts[:, 1] / counts.sum(axis=1)).max() < 0.2
+    assert np.isfinite(lm.bit_costs(np.zeros((lm.CELLS, 2), np.int64))).all()
 
 
 def test_lm_costs_are_a_distribution():
@@ -379,15 +481,66 @@ def test_fertility_bands_by_language_and_rare_scripts(spark):
     assert len(got) == len(rows) and {i for i, inside in got.items() if not inside} == {junk, odd} and got[good] and got[few]
 
 
+def spans_of(rows):
+    """Texts after sentence-span dedup, one row after the other, by the rule alone."""
+    cuts = []
+    for _, x in rows:
+        buf, offs = tx.utf8(pa.array([x or ""]))
+        start, _, size, h, _ = sentences.sentences(buf, offs)
+        cuts.append((start.tolist(), size.tolist(), h.tolist(), buf.tobytes()))
+    place = lambda i: (rows[i][0] is None, rows[i][0] or 0, spans_of.th[rows[i][1]])
+    runs = {}
+    for i, (_, size, h, _) in enumerate(cuts):
+        for k, least in sentences.RUNS:
+            for a in range(len(h)):
+                b = a + k
+                while b <= len(h) and sum(size[a:b]) < least:
+                    b += 1
+                if b <= len(h):
+                    runs.setdefault((least, tuple(h[a:b])), []).append((place(i), a, b, i))
+    gone = [[False] * len(c[0]) for c in cuts]
+    for found in runs.values():
+        first = min(found)[:2]
+        for where, a, b, i in found:
+            if (where, a) != first:
+                gone[i][a:b] = [True] * (b - a)
+    out = []
+    for (start, _, _, raw), g in zip(cuts, gone):
+        edge = [*start, len(raw)]
+        out.append((raw[: edge[0]] + b"".join(raw[a:b] for a, b, x in zip(edge, edge[1:], g) if not x)).decode())
+    return out
+
+
 def test_sentence_spans(spark, corpus, nothing):
+    from pyspark.sql import functions as F
+
     rng = random.Random(9)
     passage = " ".join(prose(rng, 12) for _ in range(5))
+    flat = prose(rng, 70).replace(".", "").lower()
+    c = prose(rng, 40)
     docs = [(2, prose(rng, 40) + "\n" + passage), (1, "Lead in here now. " + passage + " " + prose(rng, 20)), (3, passage + "\n" + passage), (4, prose(rng, 60)), (5, None), (6, "")]
-    got = {r["doc_id"]: r for r in sentences.deduplicated(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    text = dict(docs)
-    assert got[1]["text"] == text[1] and got[4]["text"] == text[4] and got[5]["text"] is None and got[6]["text"] == ""
-    assert got[2]["text"].strip() == text[2].split("\n")[0] and got[3]["text"].strip() == ""
-    assert sentences.deduplicated(spark, corpus[1]).count() == len(corpus[0]) and sentences.deduplicated(spark, nothing).count() == 0
+    docs += [(7, prose(rng, 9) + " Some words ahead " + flat + " and behind."), (8, "Others stand here before it " + flat), (9, "again " * 400), (None, passage), (None, c), (2, c), (2, "Short. " + passage[:200])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spans_of.th = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    got = sentences.deduplicated(spark, df).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in got) == Counter((i, t) for (i, _), t in zip(docs, spans_of(docs)))
+    text = {r["doc_id"]: r["text"] for r in got}
+    assert text[1] == docs[1][1] and text[4] == docs[3][1] and text[5] is None and text[6] == ""
+    assert text[3].strip() == "" and len(text[8].split()) < 40 and len(text[9].split()) < 120
+    rows = [(i, x) for i, x, *_ in corpus[0]]
+    spans_of.th = {r["text"]: r["h"] for r in corpus[1].select("text", F.xxhash64("text").alias("h")).collect()}
+    unique = list(dict.fromkeys(rows))
+    got = sentences.deduplicated(spark, corpus[1]).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["text"] or "") for r in got} == {(i, t) for (i, _), t in zip(unique, spans_of(unique))}
+    assert sentences.deduplicated(spark, nothing).count() == 0
+
+
+def test_sentence_spans_of_one_id_with_other_texts(spark):
+    rng = random.Random(19)
+    a, c = prose(rng, 90), prose(rng, 20)
+    docs = [(1, a), (2, a), (2, c)]
+    got = Counter((r["doc_id"], r["text"]) for r in sentences.deduplicated(spark, spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect())
+    assert got == Counter([(1, a), (2, ""), (2, c)])
 
 
 def test_mixture(spark, corpus, nothing):
