@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.nulls import ratio, reject_duplicates, require, sum0, value
 from ..plans.schema import WeightsArtifact
@@ -48,17 +50,35 @@ def aggregated(rows: DataFrame, kind: str, groups: list[str], value_col: str = "
     return g.agg(ratio(sum0(w * x), sum0(w * value(denominator))).alias(value_col))
 
 
+def balances(artifact_rows: DataFrame, totals: DataFrame, keys: list[str], group: list[str], weight: str, columns: list[str]) -> DataFrame:
+    """(column, group, source_total, target_total, rel_error) over the units that took part, which are those with a weight that isn't missing.
+
+    totals(keys, group, columns) are sums by unit. What a unit gives to all targets together is
+    its total times the sum of its weights, so neither side needs the data again.
+    """
+    mass = artifact_rows.where(value(f"{weight}wt").isNotNull()).groupBy(*keys).agg(F.sum(value(f"{weight}wt")).alias("_m"))
+    used = totals.join(sized(mass), keys)
+    long = used.select(*group, "_m", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("_v")) for c in columns))).alias("_c")).select(*group, "_m", "_c.*")
+    sums = long.groupBy("column", *group).agg(sum0(F.col("_v")).alias("source_total"), sum0(F.col("_v") * F.col("_m")).alias("target_total"))
+    return sums.withColumn("rel_error", validate.relative_error(F.col("source_total"), F.col("target_total")))
+
+
 def apply_weights(
     artifact: WeightsArtifact, data: DataFrame, *, kind: str, weight: str, data_version: str | None, value_col: str = "value", denominator: str | None = None, group_col: str | None = None,
-    restrict_to_sources: DataFrame | None = None, allow_partial_coverage: bool = False, coverage: dict[str, str] | None = None, tolerance: float = 1e-6,
+    restrict_to_sources: DataFrame | None = None, allow_partial_coverage: bool = False, coverage: dict[str, str] | None = None, tolerance: float = 1e-6, record: str | None = None,
 ) -> AppliedResult:
     """Target-level values of a long table with one row per source unit and dimensions.
 
     Every column beside the source keys, the value and the denominator is a dimension.
     kind says what the value is: extensive (a total to be split), intensive (an average) or
     ratio (value over denominator, both totals). Versions must agree, rows must be unique,
-    units that would be left out raise unless the coverage policy says skip, and totals
-    must balance over the units that took part.
+    units that would be left out raise unless the coverage policy says skip (with `record`,
+    a path, their counts are written there before), and totals must balance over the units
+    that took part: units whose weights are all 0 are among them, so skipping such units
+    loses their totals and raises here.
+
+    The data are read for the hashes of their keys, for sums by unit, from which coverage and
+    balance follow, and for the result.
     """
     schema, keys = artifact.schema, list(artifact.schema.source.keys)
     schema.check_kind(kind)
@@ -72,23 +92,31 @@ def apply_weights(
         raise ValueError("a ratio needs a denominator, and only a ratio takes one")
     if weight not in schema.weights:
         raise ValueError(f"no weight {weight!r}; there are {list(schema.weights)}")
-    require(data, [*keys, value_col, *([denominator] if denominator else []), *([group_col] if group_col else [])], "the data")
-    dims = [c for c in data.columns if c not in (*keys, value_col, denominator)]
+    group = [group_col] if group_col else []
+    columns = [value_col, *([denominator] if denominator else [])]
+    require(data, [*keys, *columns, *group], "the data")
+    dims = [c for c in data.columns if c not in (*keys, *columns)]
     reject_duplicates(data, [*keys, *dims], "the data")
     w = artifact.frame
     if restrict_to_sources is not None:
         w = w.join(restrict_to_sources.select(*keys).distinct(), keys, "left_semi")
+    units = data.groupBy(*keys, *group).agg(*(sum0(value(c)).alias(c) for c in columns)).persist(StorageLevel.DISK_ONLY)
+    try:
+        found = validate.source_coverage(w, units, keys, f"{weight}wt")
+        validate.enforce_coverage(found, coverage or {}, record)
+        balance = {}
+        if kind != "intensive":
+            rows = balances(w, units, keys, group, weight, columns).collect()
+            if bad := [r.asDict() for r in rows if r["rel_error"] > tolerance]:
+                raise ValueError(f"totals don't balance: {bad[:5]}")
+            if not group:
+                balance = {c: data.sparkSession.createDataFrame([(r["source_total"], r["target_total"], r["rel_error"]) for r in rows if r["column"] == c] or [(0.0, 0.0, 0.0)], "source_total double, target_total double, rel_error double") for c in columns}
+            else:
+                kind_of = data.schema[group_col].dataType
+                shape = T.StructType([T.StructField(group_col, kind_of), *(T.StructField(n, T.DoubleType()) for n in ("source_total", "target_total", "rel_error"))])
+                balance = {c: data.sparkSession.createDataFrame([(r[group_col], r["source_total"], r["target_total"], r["rel_error"]) for r in rows if r["column"] == c], shape) for c in columns}
+    finally:
+        units.unpersist()
     found = validate.source_coverage(w, data, keys, f"{weight}wt")
-    validate.enforce_coverage(found, coverage or {})
     rows = joined(artifact, data, weight, restrict_to_sources)
-    frame = aggregated(rows, kind, [*schema.id_fields, *dims], value_col, denominator)
-    balance = {}
-    if kind != "intensive":
-        used = w.where(value(f"{weight}wt").isNotNull()).groupBy(*keys).agg(sum0(F.abs(value(f"{weight}wt"))).alias("_m")).where("_m > 0").select(*keys)
-        part = data.join(used, keys, "left_semi")
-        for c in [value_col, *([denominator] if denominator else [])]:
-            totals = aggregated(rows, "extensive", [*schema.id_fields, *dims], c)
-            balance[c] = validate.mass_balance(part, totals, [group_col] if group_col else [], c, c)
-            if bad := balance[c].where(F.col("rel_error") > tolerance).limit(5).collect():
-                raise ValueError(f"{c} doesn't balance: {[r.asDict() for r in bad]}")
-    return AppliedResult(frame, found, balance)
+    return AppliedResult(aggregated(rows, kind, [*schema.id_fields, *dims], value_col, denominator), found, balance)

@@ -69,7 +69,9 @@ def binned(points: DataFrame, grid: GridSpec, lon: str = "lon", lat: str = "lat"
 
 
 def box_cells(boxes: DataFrame, grid: GridSpec, ids: list[str]) -> DataFrame:
-    """(ids, cell_ix, cell_iy, cell_lon, cell_lat, fraction, planar_area): the overlap of boxes (x0, y0, x1, y1) with cells, touching excluded; fraction is of the cell."""
+    """(ids, cell_ix, cell_iy, cell_lon, cell_lat, fraction, planar_area): the overlap of boxes (x0, y0, x1, y1) with cells, touching excluded; fraction is of the cell. A box whose sides are swapped raises."""
+    swapped = F.raise_error(F.lit("a box has no inside: x1 < x0 or y1 < y0"))
+    boxes = boxes.withColumn("x1", F.when(F.col("x1") < F.col("x0"), swapped).when(F.col("y1") < F.col("y0"), swapped).otherwise(F.col("x1")))
     ax, bx = grid.index_range(F.col("x0"), F.col("x1"), grid.west, grid.n_ix)
     ay, by = grid.index_range(F.col("y0"), F.col("y1"), -90.0, grid.n_iy)
     cells = boxes.withColumn("cell_ix", F.explode(F.sequence(ax, F.greatest(ax, bx)))).withColumn("cell_iy", F.explode(F.sequence(ay, F.greatest(ay, by))))
@@ -95,9 +97,10 @@ def zonal_centroid(boxes: DataFrame, points: DataFrame, grid: GridSpec, ids: lis
 
 
 def nearest_cell_rows(points: DataFrame, frame: DataFrame, grid: GridSpec, ids: list[str], names: list[str]) -> DataFrame:
-    """Rows for regions that the weights lack: the cell of a point inside (lon, lat), weight 1, raw 0, method nearest_cell."""
+    """Rows for regions that the weights lack: the cell of a point inside (lon, lat), weight 1, raw 0, method nearest_cell. A point outside the grid raises when the rows are read."""
     missing = points.join(frame.select(*ids).distinct(), ids, "left_anti")
-    ix, iy = grid.ix(F.col("lon")), grid.iy(F.col("lat"))
+    inside = lambda i, n: F.when((i >= 0) & (i < n), i).otherwise(F.raise_error(F.lit("a region's point lies outside the grid")))
+    ix, iy = inside(grid.index(F.col("lon"), grid.west), grid.n_ix), inside(grid.index(F.col("lat"), -90.0), grid.n_iy)
     cells = missing.select(*ids, ix.alias("cell_ix"), iy.alias("cell_iy")).withColumn("cell_lon", grid.lon(F.col("cell_ix"))).withColumn("cell_lat", grid.lat(F.col("cell_iy")))
     extra = [x for n in names for x in (F.lit(1.0).alias(f"{n}wt"), F.lit(0.0).alias(f"{n}_raw"), F.lit("nearest_cell").alias(f"{n}_method"))]
     return cells.select(*ids, "cell_ix", "cell_iy", "cell_lon", "cell_lat", *extra)
@@ -116,3 +119,20 @@ def covered_share(segments: DataFrame, units: DataFrame, unit: list[str], thresh
     got = segments.groupBy(*unit).agg(F.sum("area_raw").alias("_s"))
     share = F.coalesce("_s", F.lit(0.0)) / F.nullif(F.col("area"), F.lit(0.0))
     return units.join(got, unit, "left").select(*unit, share.alias("share")).where(F.col("share") < threshold)
+
+
+def uniform_resolution(coordinates: DataFrame, column: str, tolerance: float = 1e-9) -> float:
+    """The constant step between the distinct values of a column; steps that differ, or fewer than two values, raise.
+
+    Without ordering all values: with smallest value a, n values and step (b - a) / (n - 1), each value must lie on the lattice.
+    """
+    x = value(column)
+    low, high, n = coordinates.agg(F.min(x), F.max(x), F.count_distinct(x)).first()
+    if n < 2:
+        raise ValueError("a resolution needs two coordinates or more")
+    step = (high - low) / (n - 1)
+    at = (x - low) / step
+    worst = coordinates.agg(F.max(F.abs(at - F.round(at)) * step)).first()[0]
+    if worst > tolerance:
+        raise ValueError(f"the coordinates of {column} are not evenly spaced: {worst} off a step of {step}")
+    return step

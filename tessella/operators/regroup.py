@@ -19,8 +19,11 @@ def regroup_mean(frame: DataFrame, groups: list[str], mass: str, value_col: str
     return frame.groupBy(*groups).agg(ratio(sum0(x * value(mass)), sum0(F.when(x.isNotNull(), value(mass)))).alias(value_col))
 
 
-def ratio_of(numerator: DataFrame, denominator: DataFrame, on: list[str], value_col: str = "value", out: str = "value") -> DataFrame:
-    """Totals over totals of another table, one row to one."""
+def ratio_of(numerator: DataFrame, denominator: DataFrame, on: list[str], value_col: str = "value", out: str = "value", check: bool = True) -> DataFrame:
+    """Totals over totals of another table, one row to one; rows that repeat a key raise."""
+    if check:
+        reject_duplicates(numerator, on, "the numerator")
+        reject_duplicates(denominator, on, "the denominator")
     d = denominator.select(*on, value(value_col).alias("_d"))
     return numerator.join(d, on).select(*on, ratio(value(value_col), F.col("_d")).alias(out))
 
@@ -76,8 +79,8 @@ def split_area_weights(pairs: DataFrame, areas: DataFrame, *, source: list[str],
     """Weights on targets from an amount of each source unit, split by its land area: raw is the split amount, wt its share of the target's total, NULL where that is 0."""
     if check and (lost := pairs.select(*source).distinct().join(areas, source, "left_anti").limit(5).collect()):
         raise ValueError(f"units without an amount: {[tuple(r) for r in lost]}")
-    share = ratio(value(land), sum0_over(value(land), Window.partitionBy(*source)))
-    rows = pairs.join(areas.select(*source, value(amount).alias("_a")), source).withColumn("raw", share * F.col("_a"))
+    whole = sum0_over(value(land), Window.partitionBy(*source))
+    rows = pairs.join(areas.select(*source, value(amount).alias("_a")), source).withColumn("raw", ratio(F.col("_a") * value(land), whole))
     return rows.withColumn("wt", ratio(F.col("raw"), sum0_over(F.col("raw"), Window.partitionBy(*target)))).drop("_a")
 
 

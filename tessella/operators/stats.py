@@ -61,6 +61,8 @@ def window_means(data: DataFrame, *, time_col: str, windows: list[tuple[float, f
 def _checked(data: DataFrame, sample_dims: list[str], value_col: str, quantiles: list[float], include_mean: bool, weight_col: str | None, check: bool) -> list[str]:
     require(data, [*sample_dims, value_col, *([weight_col] if weight_col else [])], "the data")
     reject_statistics(data)
+    if clash := {"statistic", "_x", "_w"} & {*sample_dims, value_col, weight_col}:
+        raise ValueError(f"reserved column names: {sorted(clash)}")
     if any(not 0 <= q <= 1 for q in quantiles):
         raise ValueError(f"quantiles must lie in [0, 1]: {quantiles}")
     if not quantiles and not include_mean:
@@ -83,32 +85,89 @@ def _checked(data: DataFrame, sample_dims: list[str], value_col: str, quantiles:
     return identity
 
 
+#: Ranges of values into which a table without identity is split, so that no task sorts it all.
+RANGES = 64
+
+
+def _bounds(data: DataFrame, x) -> list[float]:
+    """Values that split the rows into ranges of about equal numbers."""
+    found = data.agg(F.percentile_approx(x, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), F.lit(1000))).first()[0]
+    return sorted(set(found or []))
+
+
+def _range_of(x, bounds: list[float]):
+    """Number of bounds not above x."""
+    out = F.lit(0)
+    for b in bounds:
+        out = out + F.when(x >= F.lit(b), 1).otherwise(0)
+    return out
+
+
+def _split(steps: DataFrame, identity: list[str]) -> tuple[DataFrame, list[str]]:
+    """steps(_x, _s) of a table without identity with its range `_r` and the weight before it `_before`; with identity as it is."""
+    if identity:
+        return steps, []
+    ranged = steps.withColumn("_r", _range_of(F.col("_x"), _bounds(steps, F.col("_x"))))
+    sums = ranged.groupBy("_r").agg(F.sum("_s").alias("_g"))
+    before = sums.select("_r", F.coalesce(F.sum("_g").over(Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    return ranged.join(F.broadcast(before), "_r"), ["_r"]
+
+
+def _whole_percentiles(data: DataFrame, x, quantiles: list[float]) -> DataFrame:
+    """One row (_m, _q): mean and interpolated quantiles of all rows, from the order statistics that the quantiles lie between."""
+    rows = data.select(x.alias("_x")).where("_x IS NOT NULL")
+    rows = rows.withColumn("_r", _range_of(F.col("_x"), _bounds(rows, F.col("_x"))))
+    sums = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_g"))
+    before = sums.select("_r", F.coalesce(F.sum("_g").over(Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    whole = rows.agg(F.avg("_x").alias("_m"), F.count("_x").alias("_n"))
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy("_x")) - 1).join(F.broadcast(before), "_r").withColumn("_k", F.col("_k") + F.col("_before")).crossJoin(F.broadcast(whole))
+    place = [(F.col("_n") - 1) * F.lit(float(q)) for q in quantiles]
+    at = lambda k: F.max(F.when(F.col("_k") == k, F.col("_x")))
+    found = ranked.agg(F.max("_n").alias("_n"), *(f(p).alias(f"_{s}{i}") for i, p in enumerate(place) for s, f in (("a", lambda p: at(F.floor(p))), ("b", lambda p: at(F.ceil(p))))))
+    line = [F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (p - F.floor(p)) for i, p in enumerate(place)]
+    return found.select(F.array(*line).alias("_q")).crossJoin(whole.select("_m"))
+
+
 def pooled_statistics(data: DataFrame, *, sample_dims: list[str], value_col: str = "value", quantiles: tuple[float, ...] = (), include_mean: bool = True, weight_col: str | None = None, check: bool = True) -> DataFrame:
     """(identity, statistic, value): mean and quantiles over all draws of an identity, which is every column but the draw's.
 
     Unweighted quantiles interpolate linearly. A weighted quantile q is the largest value
     whose share of cumulated weight lies below q, or -inf if there is none; with equal
     weights the median is the ordinary one. Ties are taken in the order of the draw's columns.
+    An identity without any value stays with missing statistics; with weights it raises.
     """
     quantiles = list(quantiles)
     identity = _checked(data, sample_dims, value_col, quantiles, include_mean, weight_col, check)
     x = value(value_col)
     labels = [*(["mean"] if include_mean else []), *map(quantile_label, quantiles)]
     if weight_col is None:
-        parts = [F.avg(x).alias("_m"), *([F.percentile(x, F.array(*map(F.lit, quantiles))).alias("_q")] if quantiles else [])]
-        wide = data.groupBy(*identity).agg(*parts)
+        if identity or not quantiles:
+            parts = [F.avg(x).alias("_m"), *([F.percentile(x, F.array(*map(F.lit, quantiles))).alias("_q")] if quantiles else [])]
+            wide = data.groupBy(*identity).agg(*parts)
+        else:
+            wide = _whole_percentiles(data, x, quantiles)
         cols = [*([F.col("_m")] if include_mean else []), *(F.col("_q")[i] for i in range(len(quantiles)))]
     else:
-        rows = data.withColumn("_x", x).where("_x IS NOT NULL").withColumn("_w", F.col(weight_col).cast("double"))
-        by = Window.partitionBy(*identity) if identity else Window.partitionBy(F.lit(0))
-        upto = F.sum("_w").over(by.orderBy("_x", *sample_dims).rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("_p", F.try_divide(upto, F.sum("_w").over(by)))
-        parts = [F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w")).alias("_m"), F.sum("_w").alias("_t"), F.median("_x").alias("_med"), (F.min("_w") == F.max("_w")).alias("_even")]
-        parts += [F.coalesce(F.max(F.when(F.col("_p") < q, F.col("_x"))), F.lit(float("-inf"))).alias(f"_q{i}") for i, q in enumerate(quantiles)]
-        wide = rows.groupBy(*identity).agg(*parts)
-        if check and wide.where("_t <= 0").limit(1).count():
-            raise ValueError("weights of an identity sum to zero")
-        cols = [*([F.col("_m")] if include_mean else []), *(F.when(F.col("_even"), F.col("_med")).otherwise(F.col(f"_q{i}")) if q == 0.5 else F.col(f"_q{i}") for i, q in enumerate(quantiles))]
+        rows = data.withColumn("_x", x).withColumn("_w", F.col(weight_col).cast("double"))
+        held = F.sum(F.when(F.col("_x").isNotNull(), F.col("_w")))
+        if check and (bad := rows.groupBy(*identity).agg(held.alias("_t")).where("_t IS NULL OR _t <= 0").limit(5).collect()):
+            raise ValueError(f"no draw with a value carries any weight in {[tuple(r)[:-1] for r in bad]}")
+        # draws of one value are one row: its weight, and that of the first of them, which is where the value's step begins
+        steps = rows.where("_x IS NOT NULL").groupBy(*identity, "_x").agg(F.sum("_w").alias("_s"), F.min_by("_w", F.struct(*sample_dims)).alias("_f"), F.min("_w").alias("_lo"), F.max("_w").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+        steps, part = _split(steps, identity)
+        by = Window.partitionBy(*identity, *part) if identity or part else Window.partitionBy(F.lit(0))
+        within = F.coalesce(F.sum("_s").over(by.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        steps = steps.withColumn("_b", within + F.col("_before") if part else within)
+        total = steps.groupBy(*identity).agg(F.sum("_s").alias("_t"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.try_divide(F.sum(F.col("_s") * F.col("_x")), F.sum("_s")).alias("_m"))
+        steps = steps.drop("_lo", "_hi").join(total.select(*identity, "_t"), identity) if identity else steps.drop("_lo", "_hi").crossJoin(F.broadcast(total.select("_t")))
+        reached = F.try_divide(F.col("_b") + F.col("_f"), F.col("_t"))
+        parts = [F.coalesce(F.max(F.when(reached < q, F.col("_x"))), F.lit(float("-inf"))).alias(f"_q{i}") for i, q in enumerate(quantiles)]
+        middle = F.percentile("_x", F.lit(0.5), F.col("_n")) if identity else F.lit(None).cast("double")
+        wide = steps.groupBy(*identity).agg(middle.alias("_med"), *parts)
+        wide = wide.join(total, identity) if identity else wide.crossJoin(total)
+        if not identity and 0.5 in quantiles:
+            wide = wide.drop("_med").crossJoin(_whole_percentiles(data, x, [0.5]).select(F.col("_q")[0].alias("_med")))
+        cols = [*([F.col("_m")] if include_mean else []), *(F.when(F.col("_lo") == F.col("_hi"), F.col("_med")).otherwise(F.col(f"_q{i}")) if q == 0.5 else F.col(f"_q{i}") for i, q in enumerate(quantiles))]
     pairs = F.array(*(F.struct(F.lit(label).alias("statistic"), c.alias(value_col)) for label, c in zip(labels, cols)))
     return wide.select(*identity, F.explode(pairs).alias("_s")).select(*identity, "_s.statistic", f"_s.{value_col}")
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
+import json
+import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +33,7 @@ def mass_balance(source: DataFrame, target: DataFrame, group: list[str], source_
     return both.withColumn("rel_error", relative_error(F.col("source_total"), F.col("target_total")))
 
 
-@dataclass
-class Coverage:
-    unmatched: DataFrame
-    zero_weight: DataFrame
-    absent_from_data: DataFrame
+STATUSES = ("unmatched", "zero_weight", "absent_from_data")
 
 
 def source_coverage(weights: DataFrame, data: DataFrame, keys: list[str], weight: str) -> DataFrame:
@@ -49,21 +45,36 @@ def source_coverage(weights: DataFrame, data: DataFrame, keys: list[str], weight
     return both.withColumn("status", status).where("status IS NOT NULL").select(*keys, "status")
 
 
-def enforce_coverage(found: DataFrame, policy: dict[str, str]) -> dict[str, int]:
-    """Counts by status; statuses whose policy isn't skip raise, all in one message."""
-    counts = {r["status"]: r["n"] for r in found.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+def enforce_coverage(found: DataFrame, policy: dict[str, str], record: str | None = None) -> dict[str, int]:
+    """Counts by status; statuses whose policy isn't skip raise, all in one message. Skipped ones warn. With `record` the counts are written there as JSON first."""
+    if unknown := set(policy) - set(STATUSES):
+        raise ValueError(f"no status {sorted(unknown)}; there are {STATUSES}")
+    keys = [c for c in found.columns if c != "status"]
+    rows = found.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*keys)).alias("first"), F.max(F.struct(*keys)).alias("last")).collect()
+    counts = {r["status"]: r["n"] for r in rows}
+    some = {r["status"]: [tuple(r["first"]), tuple(r["last"])] for r in rows}
+    if record:
+        body = json.dumps({"source_coverage": {k: {"n": n, "such_as": some[k], "policy": policy.get(k, "error")} for k, n in counts.items()}}, sort_keys=True, default=str)
+        found.sparkSession.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(record)
     bad = {k: n for k, n in counts.items() if policy.get(k, "error") == "error"}
     if bad:
-        some = {k: [tuple(r)[:-1] for r in found.where(F.col("status") == k).limit(5).collect()] for k in bad}
-        raise ValueError(f"source units without a part in the result: {bad}, such as {some}; pass a policy of skip for a status to go on")
+        raise ValueError(f"source units without a part in the result: {bad}, such as {({k: some[k] for k in bad})}; pass a policy of skip for a status to go on")
+    for k, n in counts.items():
+        warnings.warn(f"{n} source units are {k} and skipped, such as {some[k]}", stacklevel=2)
     return counts
 
 
+def enforce(problems: DataFrame, what: str) -> None:
+    """Raise where a table of (problem, n) has any."""
+    if bad := {r["problem"]: r["n"] for r in problems.where("n > 0").collect()}:
+        raise ValueError(f"{what}: {bad}")
+
+
 def grid_problems(frame: DataFrame, n_ix: int, n_iy: int, id_fields: list[str], west: float = -180.0) -> DataFrame:
     """(problem, n) for rows with cell indices outside the grid, coordinates outside the half-open domain, or repeated keys."""
     rows = frame.agg(
         F.count_if((F.col("cell_ix") < 0) | (F.col("cell_ix") >= n_ix)).alias("ix"), F.count_if((F.col("cell_iy") < 0) | (F.col("cell_iy") >= n_iy)).alias("iy"),
-        F.count_if((F.col("cell_lon") < west) | (F.col("cell_lon") >= west + 360)).alias("lon"), F.count_if((F.col("cell_lat") < -90) | (F.col("cell_lat") > 90)).alias("lat"),
+        F.count_if((F.col("cell_lon") < west) | (F.col("cell_lon") >= west + 360)).alias("lon"), F.count_if((F.col("cell_lat") < -90) | (F.col("cell_lat") >= 90)).alias("lat"),
     )
     again = frame.groupBy(*id_fields, "cell_ix", "cell_iy").agg(F.count(F.lit(1)).alias("c")).agg(sum0(F.when(F.col("c") > 1, F.col("c"))).cast("long").alias("n"))
     return rows.unpivot([], ["ix", "iy", "lon", "lat"], "problem", "n").unionByName(again.select(F.lit("duplicate").alias("problem"), "n"))
