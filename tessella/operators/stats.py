@@ -151,7 +151,7 @@ def pooled_statistics(data: DataFrame, *, sample_dims: list[str], value_col: str
         rows = data.withColumn("_x", x).withColumn("_w", F.col(weight_col).cast("double"))
         held = F.sum(F.when(F.col("_x").isNotNull(), F.col("_w")))
         if check and (bad := rows.groupBy(*identity).agg(held.alias("_t")).where("_t IS NULL OR _t <= 0").limit(5).collect()):
-            raise ValueError(f"no draw with a value carries any weight in {[tuple(r)[:-1] for r in bad]}")
+            raise ValueError(f"weights sum to zero: no draw with a value carries any in {[tuple(r)[:-1] for r in bad]}")
         # draws of one value are one row: its weight, and that of the first of them, which is where the value's step begins
         steps = rows.where("_x IS NOT NULL").groupBy(*identity, "_x").agg(F.sum("_w").alias("_s"), F.min_by("_w", F.struct(*sample_dims)).alias("_f"), F.min("_w").alias("_lo"), F.max("_w").alias("_hi"), F.count(F.lit(1)).alias("_n"))
         steps, part = _split(steps, identity)
