@@ -57,7 +57,15 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    """A small text file, or the parts of a folder; hidden names are read like others."""
+    fs, p = _fs(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def write_artifact(artifact: WeightsArtifact, folder: str, fmt: str = "parquet", stem: str = "weights", single: bool = False, inputs: dict[str, str] | None = None) -> list[str]:
