@@ -51,6 +51,20 @@ def outside_domain(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return described(df, geometry).where((F.col("x0") < -180 - e) | (F.col("x1") > 180 + e) | (F.col("y0") < -90 - e) | (F.col("y1") > 90 + e))
 
 
+def boxes(df: DataFrame, ids: list[str], geometry: str = "geometry") -> DataFrame:
+    """ids and geometry of rows with x0, y0, x1, y1 as polygons."""
+    importable(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            at = np.stack([batch.column(len(ids) + k).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
+            shapes = [rg.to_wkb([[(a, b), (c, b), (c, d), (a, d)]]) for a, b, c, d in at.tolist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], pa.array(shapes, pa.binary())], [*ids, geometry])
+
+    plain = df.select(*ids, *(F.col(c).cast("double").alias(c) for c in BOX))
+    return plain.mapInArrow(run, T.StructType([*(df.schema[c] for c in ids), T.StructField(geometry, T.BinaryType())]))
+
+
 POLICIES = ("repair", "skip", "error")
 
 
