@@ -28,13 +28,14 @@ _CLOSE = np.zeros(256, bool)
 _CLOSE[[ord(c) for c in "\"')]"]] = True
 
 
-def lowest(word: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Whether each hash is smaller than those of the `radius` words before it and not above those of as many after it."""
+def lowest(word: np.ndarray, row: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Whether each hash has `radius` words of its row on both sides, is smaller than those before it and not above those after it."""
     out = np.ones(len(word), bool)
     for i in range(1, radius + 1):
-        out[i:] &= word[i:] < word[:-i]
-        out[:-i] &= word[:-i] <= word[i:]
-    out[:radius] = out[len(out) - radius :] = False
+        same = row[i:] == row[:-i]
+        out[i:] &= same & (word[i:] < word[:-i])
+        out[:-i] &= same & (word[:-i] <= word[i:])
+    out[:radius] = out[max(len(out) - radius, 0) :] = False
     return out
 
 
@@ -64,7 +65,7 @@ def sentences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begin[1:] = stop[:-1] | (breaks[starts[1:]] > breaks[ends[:-1]]) | (row[1:] != row[:-1])
     first = np.flatnonzero(begin)
     size = np.diff(np.append(first, len(starts)))
-    begin |= np.repeat(size > LONG, size) & lowest(word)
+    begin |= np.repeat(size > LONG, size) & lowest(word, row)
     first = np.flatnonzero(begin)
     size = np.diff(np.append(first, len(starts)))
     inside = np.arange(len(starts)) - np.repeat(first, size)

@@ -511,6 +511,24 @@ def spans_of(rows):
     return out
 
 
+def test_cuts_do_not_depend_on_other_rows():
+    rng = random.Random(20)
+    texts = [prose(rng, n).replace(".", "" if k % 2 else ".").lower() for k, n in enumerate((1, 2, 3, 30, 200, 7, 90))]
+
+    def cuts(rows):
+        buf, offs = tx.utf8(pa.array(rows))
+        low = tx.LOWER[buf]
+        s, e, row = tx.words(low, offs)
+        word = tx.spans(tx.prefix(low), s, e)
+        _, r, number, h = lm.segments(word, row)
+        start, own, _, key, _ = sentences.sentences(buf, offs)
+        return [(h[r == i].tolist(), number[r == i].tolist(), key[own == i].tolist()) for i in range(len(rows))]
+
+    alone = [cuts([t])[0] for t in texts]
+    for order in ([3, 1, 0, 2, 4, 6, 5], [0, 1, 2, 3, 4, 5, 6], [6, 5, 4, 3, 2, 1, 0]):
+        assert cuts([texts[i] for i in order]) == [alone[i] for i in order]
+
+
 def test_sentence_spans(spark, corpus, nothing):
     from pyspark.sql import functions as F
 
