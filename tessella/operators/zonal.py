@@ -44,12 +44,14 @@ def zonal_sums(segments: DataFrame, ids: list[str], raster: DataFrame, grid: Gri
         raise ValueError(f"coverage must be one of {COVERAGES} and kind one of {KINDS}, not {coverage!r} and {kind!r}")
     if kind == "area_weighted_sum":
         raster = area_weighted(raster, grid)
+    own = [f"_id{i}" for i in range(len(ids))]  # the ids may be called like pixels or cells
+    shapes = segments.select(*(F.col(c).alias(k) for c, k in zip(ids, own)), geometry)
     if coverage == "exact_fraction":
-        covered = pg.cells(segments, ids, grid, geometry).select(*ids, F.col("cell_ix").alias("px"), F.col("cell_iy").alias("py"), F.col("fraction").alias("share"))
+        covered = pg.cells(shapes, own, grid, geometry).select(*own, F.col("cell_ix").alias("px"), F.col("cell_iy").alias("py"), F.col("fraction").alias("share"))
     else:
-        covered = centres(segments, ids, grid, geometry).withColumn("share", F.lit(1.0))
-    sums = covered.join(raster, ["px", "py"]).groupBy(*ids).agg(F.sum(F.col("value") * F.col("share")).alias("_s"))
-    return segments.select(*ids).distinct().join(sums, ids, "left").select(*ids, F.coalesce("_s", F.lit(0.0)).alias("raw"))
+        covered = centres(shapes, own, grid, geometry).withColumn("share", F.lit(1.0))
+    sums = covered.join(raster, ["px", "py"]).groupBy(*own).agg(F.sum(F.col("value") * F.col("share")).alias("_s"))
+    return shapes.select(*own).distinct().join(sums, own, "left").select(*(F.col(k).alias(c) for c, k in zip(ids, own)), F.coalesce("_s", F.lit(0.0)).alias("raw"))
 
 
 def centres(segments: DataFrame, ids: list[str], grid: GridSpec, geometry: str = "geometry") -> DataFrame:

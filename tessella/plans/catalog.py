@@ -416,14 +416,14 @@ _TILED = f"WITH b AS ({duck(BOXES)}), t AS ({duck(TILES)}), o AS (SELECT n_natio
 
 @query("polygon_overlay", _TILED + " SELECT n_nationkey, tile, round(area_raw / 1e6, 3) AS km2 FROM p")
 def _(spark, d):
-    out = polygons.overlay(_polygons(spark, d), ["n_nationkey"], _polygons(spark, d, TILES, ["tile"]), ["tile"])
+    out = polygons.overlay(_polygons(spark, d), ["n_nationkey"], _polygons(spark, d, TILES, ["tile"]), ["tile"], bin_degrees=8.0)
     return rounded(out.withColumn("km2", F.col("area_raw") / 1e6).drop("area_raw"), "km2", n=3)
 
 
 @query("polygon_coverage_ratio", _TILED + f", u AS (SELECT tile, {area_sql('x0', 'y0', 'x1', 'y1')} AS area FROM t), c AS (SELECT tile, sum(area_raw) AS s FROM p GROUP BY 1) SELECT tile, round(coalesce(s, 0) / area, 6) AS share FROM u LEFT JOIN c USING (tile) WHERE coalesce(s, 0) / area < 0.999")
 def _(spark, d):
     tiles = _polygons(spark, d, TILES, ["tile"])
-    parts = polygons.overlay(_polygons(spark, d), ["n_nationkey"], tiles, ["tile"])
+    parts = polygons.overlay(_polygons(spark, d), ["n_nationkey"], tiles, ["tile"], bin_degrees=8.0)
     return rounded(gr.covered_share(parts, polygons.described(tiles).selectExpr("tile", "geodesic_area AS area"), ["tile"]), "share")
 
 
@@ -461,7 +461,7 @@ def _(spark, d):
 
 @query("polygon_weight_generation", _TILED + " SELECT n_nationkey, tile, round(area_raw / sum(area_raw) OVER (PARTITION BY tile), 7) AS areawt, 'native' AS area_method FROM p")
 def _(spark, d):
-    a = generate.weights_on_polygons(_polygons(spark, d), ["n_nationkey"], _polygons(spark, d, TILES, ["tile"]), ["tile"], [generate.Weight("area")], normalization="per_source", regions_version="boxes-1", source_version="tiles-1", on_zero_overlap="skip")
+    a = generate.weights_on_polygons(_polygons(spark, d), ["n_nationkey"], _polygons(spark, d, TILES, ["tile"]), ["tile"], [generate.Weight("area")], normalization="per_source", regions_version="boxes-1", source_version="tiles-1", on_zero_overlap="skip", bin_degrees=8.0)
     return rounded(a.frame.select("n_nationkey", "tile", "areawt", "area_method"), "areawt", n=7)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,14 @@ class Weight:
             raise ValueError(f"the weight {self.name!r} needs a raster and its grid")
 
 
+def _kept(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """df written to a folder and read again, or without one kept by Spark on disk, so that its geometry is worked out once."""
+    if folder is None:
+        return df.persist(StorageLevel.DISK_ONLY)
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+
 def _prepared(regions: DataFrame, ids: list[str], invalid: str, null: str, requested: DataFrame | None, unknown: str, what: str) -> tuple[DataFrame, dict]:
     """Polygons by policy, and an account of what was repaired or left out."""
     if lost := [c for c in (*ids, "geometry") if c not in regions.columns]:
@@ -85,28 +94,21 @@ def weights_on_grid(
     """Weights of grid cells in each region (per destination), from regions(ids, geometry).
 
     Regions without any cell get the cell of a point inside them (method nearest_cell). With
-    `persist`, a folder, segments are written there once instead of being worked out for each
-    use. The result is checked: indices and coordinates within the grid, no repeated keys,
+    `persist`, a folder, segments and weights are written there, else Spark keeps them on disk. The result is checked: indices and coordinates within the grid, no repeated keys,
     weights that sum to one.
     """
     _checked_weights(weights)
-    spark = regions.sparkSession
     good, account = _prepared(regions, ids, on_invalid, on_null, requested, on_unknown, "regions")
     # the hemispheres of a region may hold one cell in two pieces
-    raw = pg.cells(good, ids, grid, shapes=True)
-    segments = raw.where("area_raw > 0").withColumn("cell_lon", grid.lon(F.col("cell_ix"))).withColumn("cell_lat", grid.lat(F.col("cell_iy")))
-    segments, lost = gr.large_segments(segments, ids, min_segment_m2)
-    if persist:
-        segments.write.mode("overwrite").parquet(f"{persist}/segments")
-        segments = spark.read.parquet(f"{persist}/segments")
+    raw = pg.cells(good, ids, grid, shapes=True).where("area_raw > 0")
+    raw = _kept(raw.withColumn("cell_lon", grid.lon(F.col("cell_ix"))).withColumn("cell_lat", grid.lat(F.col("cell_iy"))), persist, "segments")
+    segments, lost = gr.large_segments(raw, ids, min_segment_m2)
     frame, counts = _weighed(segments, ids, CELL, weights, "per_destination", coverage, ["cell_lon", "cell_lat"])
     schema = OutputSchema(tuple(ids), tuple(w.name for w in weights), GRID_CELLS, "per_destination")
     frame = frame.select(*(F.col(c) for c in schema.columns if c in frame.columns))
     points = pg.inner_points(good, ids)
     frame = frame.unionByName(gr.nearest_cell_rows(points, frame, grid, ids, [w.name for w in weights])).select(*schema.columns)
-    if persist:
-        frame.write.mode("overwrite").parquet(f"{persist}/frame")
-        frame = spark.read.parquet(f"{persist}/frame")
+    frame = _kept(frame, persist, "frame")
     validate.enforce(validate.grid_problems(frame, grid.n_ix, grid.n_iy, ids, grid.west), "weights on the grid")
     if bad := validate.sum_to_one(frame, schema, tolerance).limit(5).collect():
         raise ValueError(f"weights that don't sum to one: {[tuple(r) for r in bad]}")
@@ -130,17 +132,14 @@ def weights_on_polygons(
         raise ValueError(f"regions and sources both name an id {sorted(clash)}")
     if not regions_version or not source_version:
         raise ValueError("both versions have to be stated")
-    spark = regions.sparkSession
     good, account = _prepared(regions, ids, on_invalid, on_null, None, "error", "regions")
     units, more = _prepared(sources, source_ids, on_invalid, on_null, None, "error", "sources")
     account |= more
     for what, df, names in (("regions", good, ids), ("sources", units, source_ids)):
         if near := [r.asDict() for r in pg.domain_edge(df, names, what).limit(500).collect()]:
             account[f"near_domain_edge_{what}"] = near
-    segments, lost = gr.large_segments(pg.overlay(good, ids, units, source_ids, bin_degrees=bin_degrees, shapes=True), source_ids, min_segment_m2)
-    if persist:
-        segments.write.mode("overwrite").parquet(f"{persist}/segments")
-        segments = spark.read.parquet(f"{persist}/segments")
+    raw = _kept(pg.overlay(good, ids, units, source_ids, bin_degrees=bin_degrees, shapes=True), persist, "segments")
+    segments, lost = gr.large_segments(raw, source_ids, min_segment_m2)
     none = units.select(*source_ids).join(segments.select(*source_ids).distinct(), source_ids, "left_anti")
     n_none, such = none.count(), [list(r) for r in none.limit(500).collect()]
     if n_none and on_zero_overlap == "error":
@@ -148,9 +147,7 @@ def weights_on_polygons(
     frame, counts = _weighed(segments, ids, source_ids, weights, normalization, coverage, [])
     schema = OutputSchema(tuple(ids), tuple(w.name for w in weights), SourceUnits(tuple(source_ids)), normalization)
     frame = frame.select(*schema.columns)
-    if persist:
-        frame.write.mode("overwrite").parquet(f"{persist}/frame")
-        frame = spark.read.parquet(f"{persist}/frame")
+    frame = _kept(frame, persist, "frame")
     present = units.join(none, source_ids, "left_anti")
     validate.enforce(validate.polygon_problems(frame, schema, present), "weights on polygons")
     if bad := validate.sum_to_one(frame, schema, tolerance).limit(5).collect():
