@@ -592,6 +592,46 @@ def test_shards(spark, corpus, nothing):
     assert mix == 10 and max(r["count"] for r in share) - min(r["count"] for r in share) <= 2
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated ids, a text of megabytes, empty ones, and columns whose names the operators use themselves."""
+    rng = random.Random(21)
+    long = " ".join(prose(rng, 2000) for _ in range(300))
+    texts = [(None, prose(rng, 60)), (None, None), (None, ""), (3, prose(rng, 60)), (3, prose(rng, 50)), (3, None), (4, long), (5, "٠١٢ ０१२ 3"), (6, "ℂ々")]
+    names = ["_id", "_text", "_row", "_kept", "_key", "_k", "_d", "_c", "_chars", "_t", "u", "th", "h", "id", "comp", "kept", "n", "events", "where", "probability", "slot"]
+    rows = [(i, t, "en", "s", len(t or ""), *range(len(names))) for i, t in texts]
+    return texts, spark.createDataFrame(rows, SCHEMA + ", " + ", ".join(f"{n} int" for n in names)).repartition(2)
+
+
+def test_odd_rows_give_a_row_each(spark, odd):
+    texts, df = odd
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    ids = Counter(i for i, _ in texts)
+    speaker = language.train(df)
+    for out in (suffixes.reported(spark, df), quality.scored(spark, df, quality.train(spark, df, labels)), language.identified(spark, df, speaker), lm.scored(spark, df), fertility.ruled(spark, df), sentences.deduplicated(spark, df), mixing.mixed(df), minhash.near_duplicates(spark, df), shards.shard_report(df, 4)):
+        assert Counter(r["doc_id"] for r in out.select("doc_id").collect()) == ids, out.columns
+    lang = Counter((r["doc_id"], r["lang_pred"]) for r in language.identified(spark, df, speaker).collect())
+    assert lang[5, "und"] == 1 and lang[6, "en"] == 1 and lang[None, "und"] == 2
+    assert "".join(r["text"] for r in language.spans(spark, df, speaker).where("doc_id = 4").collect()) == texts[6][1]
+
+
+def test_odd_rows_in_the_stages(spark, odd):
+    texts, df = odd
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(0, texts[0][1])], "item_id long, text string")
+    whole = [(i, t) for i, t in texts]
+    for block in (decontaminate.BLOCK_TOKENS, 20):
+        clean = decontaminate.decontaminate(spark, df, bench, block_tokens=block)
+        assert clean.columns == df.columns and (None, texts[0][1]) not in [(r["doc_id"], r["text"]) for r in clean.select("doc_id", "text").collect()]
+    for out, n in ((quality.keep_good(spark, df, labels), None), (minhash.one_of_each(spark, df), len(whole)), (mixing.sampled(df, rate=10.0), len(whole))):
+        got = [(r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect()]
+        assert out.columns == df.columns and not Counter(got) - Counter(whole) and n in (None, len(got))
+    placed = shards.shard_documents(df, 3)
+    assert [c for c in placed.columns if c not in ("shard", "slot")] == [c for c in df.columns if c != "slot"] and placed.count() == len(whole)
+    none = df.limit(0)
+    assert minhash.one_of_each(spark, none).count() == decontaminate.decontaminate(spark, none, bench).count() == quality.keep_good(spark, none, labels).count() == mixing.sampled(none).count() == shards.shard_documents(none, 3).count() == 0
+
+
 def test_tables_sum(spark):
     def emit(batches):
         for _ in batches:
