@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 4096
+#: Chunks in a record batch, 4 MB.
+BATCH = 128
 SCHEMA = "name string, chunk long, counts binary"
 
 
@@ -17,8 +19,9 @@ def chunks(tables: dict[str, np.ndarray]):
     for name, table in tables.items():
         parts = [(i // CHUNK, table[i : i + CHUNK]) for i in range(0, len(table), CHUNK)]
         parts = [(i, x) for i, x in parts if x.any()]
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts)), pa.array([i for i, _ in parts], pa.int64()), pa.array([np.ascontiguousarray(x, np.int64).tobytes() for _, x in parts], pa.binary())], ["name", "chunk", "counts"])
+        for i in range(0, len(parts), BATCH):
+            some = parts[i : i + BATCH]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array([k for k, _ in some], pa.int64()), pa.array([np.ascontiguousarray(x, np.int64).tobytes() for _, x in some], pa.binary())], ["name", "chunk", "counts"])
 
 
 def _sum(key, batches):
