@@ -89,6 +89,16 @@ def generated(spark: SparkSession, cfg: cf.Config, test_mode: bool = False, pers
     return generate.weights_on_polygons(regions, ids, sources, s.id_fields, weights, normalization=cfg.normalization, regions_version=cfg.regions.version, source_version=s.version, min_segment_m2=cfg.min_segment_area_m2, on_zero_overlap=zero, coverage_threshold=s.coverage_threshold, **common)
 
 
+class SparkBackend:
+    """Weights by this package on a session; `persist` is a folder for segments and weights on the way."""
+
+    def __init__(self, spark: SparkSession, persist: str | None = None):
+        self.spark, self.persist = spark, persist
+
+    def compute(self, config: cf.Config, test_mode: bool = False) -> WeightsArtifact:
+        return generated(self.spark, config, test_mode, self.persist)
+
+
 def cmd_validate(spark: SparkSession, args) -> int:
     cfg = cf.load(args.config)
     lost = missing_inputs(spark, cfg)
@@ -102,7 +112,7 @@ def cmd_run(spark: SparkSession, args) -> int:
         print("\n".join(f"missing: {p}" for p in lost))
         return 1
     out = cfg.output.dir
-    artifact = generated(spark, cfg, args.test_mode, f"{out}/.work")
+    artifact = SparkBackend(spark, f"{out}/.work").compute(cfg, args.test_mode)
     inputs = {k: p for k, p in {"regions": cfg.regions.path, "source": cfg.source and cfg.source.path, **{f"weight:{w.name}": w.raster for w in cfg.weights}}.items() if p}
     for path in artifacts.write_artifact(artifact, out, cfg.output.format, single=cfg.output.single, inputs=inputs):
         print(path)

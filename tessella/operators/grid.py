@@ -106,6 +106,11 @@ def nearest_cell_rows(points: DataFrame, frame: DataFrame, grid: GridSpec, ids:
     return cells.select(*ids, "cell_ix", "cell_iy", "cell_lon", "cell_lat", *extra)
 
 
+def cell_areas(segments: DataFrame, ids: list[str], area: str = "area_raw") -> DataFrame:
+    """(ids, cell_ix, cell_iy, area): one row a cell where wrapped cells come twice, with the larger area."""
+    return segments.groupBy(*ids, "cell_ix", "cell_iy").agg(F.max(value(area)).alias(area))
+
+
 def large_segments(segments: DataFrame, unit: list[str], least: float = 1.0, area: str = "area_raw") -> tuple[DataFrame, DataFrame]:
     """Segments of at least an area, and by unit what was left out: dropped, discarded_share, gone (nothing left)."""
     small = F.col(area) < least

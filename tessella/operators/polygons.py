@@ -51,6 +51,13 @@ def outside_domain(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return described(df, geometry).where((F.col("x0") < -180 - e) | (F.col("x1") > 180 + e) | (F.col("y0") < -90 - e) | (F.col("y1") > 90 + e))
 
 
+def digest(df: DataFrame, ids: list[str], geometry: str = "geometry") -> str:
+    """16 hex digits of a set of ids and geometries, whatever the order of its rows."""
+    h = F.xxhash64(*ids, geometry)
+    low, n = df.agg(F.bit_xor(h), F.count(F.lit(1))).first()
+    return f"{((low or 0) ^ n) & (2**64 - 1):016x}"
+
+
 def boxes(df: DataFrame, ids: list[str], geometry: str = "geometry") -> DataFrame:
     """ids and geometry of rows with x0, y0, x1, y1 as polygons."""
     importable(df.sparkSession)
@@ -71,7 +78,7 @@ POLICIES = ("repair", "skip", "error")
 def mended(df: DataFrame, ids: list[str], policy: str = "repair", geometry: str = "geometry") -> tuple[DataFrame, DataFrame]:
     """(df, account): polygons that cross or touch themselves are repaired (same area by even and odd crossings), left out, or raise; account(ids, status) lists those that are invalid, null or empty.
 
-    Null and empty polygons are left out. Lines and points among the parts raise.
+    Null and empty polygons are left out; lines and points among the parts don't count.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}, not {policy!r}")
@@ -122,35 +129,48 @@ def inner_points(df: DataFrame, ids: list[str], geometry: str = "geometry") -> D
 
 def _cells(rings: rg.Rings, grid: GridSpec):
     """(ix, iy, rings of the piece, whether it is the whole cell) of every cell that a polygon meets: rows of cells first, then the cells of a row. Stretches of cells inside are found from the edges of the row alone."""
+    parts = rg.hemispheres(rings)
+    if len(parts) > 1:  # both may hold a piece of the cells at longitude 0
+        found: dict[tuple[int, int], list] = {}
+        for part in parts:
+            for ix, iy, piece, full in _part_cells(part, grid):
+                seen = found.setdefault((ix, iy), [[], False])
+                seen[0], seen[1] = seen[0] + piece, full
+        yield from ((*at, piece, full) for at, (piece, full) in found.items())
+    else:
+        yield from _part_cells(rings, grid)
+
+
+def _part_cells(part: rg.Rings, grid: GridSpec):
+    """_cells() of a polygon within one hemisphere, or away from the antimeridian."""
     res, west, half, n_ix, n_iy = grid.resolution, grid.west, grid.half, grid.n_ix, grid.n_iy
-    for part in rg.hemispheres(rings):
-        x0, y0, x1, y1 = rg.bounds(part)
-        for iy in range(int(np.floor((y0 + 90) / res + half)), int(np.floor((y1 + 90) / res + half)) + 1):
-            low = (iy - half) * res - 90
-            row = rg.clip_box(part, x0, low, x1, low + res)
-            if not row:
-                continue
-            p, q = rg.edges(row)
-            rx0, rx1 = p[:, 0].min(), p[:, 0].max()
-            first, last = (int(np.floor((x - west) / res + half)) for x in (rx0, rx1))
-            # cells that only edges along their own upper and lower line cross are whole or empty
-            flat = (p[:, 1] == q[:, 1]) & ((p[:, 1] == low) | (p[:, 1] == low + res))
-            a, b = (f(p[~flat, 0], q[~flat, 0]) for f in (np.minimum, np.maximum))
-            touched = np.zeros(last - first + 2, np.int64)
-            np.add.at(touched, np.clip(np.floor((a - west) / res + half).astype(int) - first, 0, last - first), 1)
-            np.add.at(touched, np.clip(np.floor((b - west) / res + half).astype(int) - first, 0, last - first) + 1, -1)
-            touched = np.cumsum(touched)[:-1] > 0
-            middle = ((np.arange(first, last + 1) - half + 0.5) * res + west, np.full(last - first + 1, low + res / 2))
-            whole = ~touched & rg.contains(row, *middle)
-            for ix in (np.flatnonzero(touched | whole) + first).tolist():
-                left = (ix - half) * res + west
-                at = ix % n_ix, min(max(iy, 0), n_iy - 1)
-                if whole[ix - first]:
-                    yield *at, [np.array([(left, low), (left + res, low), (left + res, low + res), (left, low + res)])], True
-                else:
-                    piece = rg.clip_box(row, left, low, left + res, low + res)
-                    if rg.planar_area(piece) > 0:
-                        yield *at, piece, False
+    x0, y0, x1, y1 = rg.bounds(part)
+    for iy in range(int(np.floor((y0 + 90) / res + half)), int(np.floor((y1 + 90) / res + half)) + 1):
+        low = (iy - half) * res - 90
+        row = rg.clip_box(part, x0, low, x1, low + res)
+        if not row:
+            continue
+        p, q = rg.edges(row)
+        rx0, rx1 = p[:, 0].min(), p[:, 0].max()
+        first, last = (int(np.floor((x - west) / res + half)) for x in (rx0, rx1))
+        # cells that only edges along their own upper and lower line cross are whole or empty
+        flat = (p[:, 1] == q[:, 1]) & ((p[:, 1] == low) | (p[:, 1] == low + res))
+        a, b = (f(p[~flat, 0], q[~flat, 0]) for f in (np.minimum, np.maximum))
+        touched = np.zeros(last - first + 2, np.int64)
+        np.add.at(touched, np.clip(np.floor((a - west) / res + half).astype(int) - first, 0, last - first), 1)
+        np.add.at(touched, np.clip(np.floor((b - west) / res + half).astype(int) - first, 0, last - first) + 1, -1)
+        touched = np.cumsum(touched)[:-1] > 0
+        middle = ((np.arange(first, last + 1) - half + 0.5) * res + west, np.full(last - first + 1, low + res / 2))
+        whole = ~touched & rg.contains(row, *middle)
+        for ix in (np.flatnonzero(touched | whole) + first).tolist():
+            left = (ix - half) * res + west
+            at = ix % n_ix, min(max(iy, 0), n_iy - 1)
+            if whole[ix - first]:
+                yield *at, [np.array([(left, low), (left + res, low), (left + res, low + res), (left, low + res)])], True
+            else:
+                piece = rg.clip_box(row, left, low, left + res, low + res)
+                if rg.planar_area(piece) > 0:
+                    yield *at, piece, False
 
 
 def cells(df: DataFrame, ids: list[str], grid: GridSpec, geometry: str = "geometry", shapes: bool = False) -> DataFrame:

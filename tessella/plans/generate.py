@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -17,6 +18,12 @@ from .schema import GRID_CELLS, OutputSchema, SourceUnits, WeightsArtifact
 CELL = ["cell_ix", "cell_iy"]
 
 
+class Backend(Protocol):
+    """What makes weights from a configuration; the command line has the one over Spark."""
+
+    def compute(self, config, test_mode: bool = False) -> WeightsArtifact: ...
+
+
 @dataclass
 class Weight:
     """A weight by its name: `area`, or the sum of a raster (px, py, value) on `grid`. fallback None means area, by default."""

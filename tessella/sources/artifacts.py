@@ -108,6 +108,17 @@ def load_artifact(spark: SparkSession, folder: str, stem: str = "weights") -> We
     return WeightsArtifact(frame, schema, info.get("regions_version"), info.get("source_version"), partial.get("count") if isinstance(partial, dict) else partial, info)
 
 
+def load_manifest(spark: SparkSession, folder: str, stem: str = "weights") -> dict:
+    return json.loads(read_text(spark, f"{folder}/{stem}.manifest.json"))
+
+
+def load_canonical(spark: SparkSession, path: str, schema: OutputSchema) -> DataFrame:
+    """A weights table from any path that Spark reads, checked against its schema and with its columns in order."""
+    df = spark.read.parquet(path)
+    schema.validate(df)
+    return df.select(*schema.columns)
+
+
 def model_weights(spark: SparkSession, path: str) -> DataFrame:
     """(model, weight) of a tab-separated table with a header."""
     df = spark.read.csv(path, sep="\t", header=True)

@@ -1,12 +1,14 @@
 """Areas, clipping, overlaps and points of polygons, by hand-computed shapes."""
 
+import struct
+
 import numpy as np
 import pytest
 
 from tessella.functions import rings as rg
 from tessella.operators import polygons as pg
 from tessella.operators import zonal
-from tessella.operators.grid import GridSpec
+from tessella.operators.grid import GridSpec, cell_areas
 from tessella.plans import generate
 
 
@@ -88,6 +90,24 @@ def test_antimeridian(spark):
     assert got == {(0, 1.0), (1, 0.5), (357, 1.0), (358, 1.0), (359, 1.0)}
 
 
+def test_cells_at_longitude_zero_come_once(spark):
+    belt = rg.to_wkb([box(-180, 10, 180, 11)])
+    df = spark.createDataFrame([("belt", bytearray(belt))], "name string, geometry binary")
+    got = pg.cells(df, ["name"], GridSpec(1.0, "center")).where("cell_iy = 100").collect()
+    assert len({r.cell_ix for r in got}) == len(got) == 360 and all(r.fraction == pytest.approx(0.5) for r in got)
+    twice = spark.createDataFrame([("a", 1, 2, 3.0), ("a", 1, 2, 5.0)], "name string, cell_ix long, cell_iy long, area_raw double")
+    assert [r.area_raw for r in cell_areas(twice, ["name"]).collect()] == [5.0]
+    assert pg.digest(df, ["name"]) != pg.digest(df.selectExpr("'x' AS name", "geometry"), ["name"])
+
+
+def test_geometries_of_other_kinds():
+    point, line = b"\1" + struct.pack("<I2d", 1, 3.0, 4.0), b"\0" + struct.pack(">II4d", 2, 2, 0, 0, 1, 1)
+    ring = [(0, 0, 9), (2, 0, 9), (2, 1, 9), (0, 1, 9), (0, 0, 9)]
+    solid = b"\1" + struct.pack("<III", 1003, 1, 5) + b"".join(struct.pack("<3d", *p) for p in ring)
+    whole = b"\1" + struct.pack("<II", 7, 3) + point + solid + line
+    assert rg.planar_area(rg.from_wkb(whole)) == 2 and rg.from_wkb(point) == [] and rg.from_wkb(line) == []
+
+
 def test_overlay(spark):
     zones = {"left": box(-20, 30, -15, 36), "right": box(-15, 30, -9, 36)}
     lots = {"in": box(-18.5, 31.25, -17.75, 33.5), "across": box(-16, 32, -13, 33), "edge": box(-9, 30, -8, 31), "far": box(100, 0, 101, 1)}
