@@ -195,8 +195,8 @@ def cells(df: DataFrame, ids: list[str], grid: GridSpec, geometry: str = "geomet
                     if full and iy not in whole:
                         whole[iy] = rg.geodesic_area(piece)
                     share = 1.0 if full else rg.planar_area(piece) / res**2
-                    full = full or share >= 1 - 1e-12  # covered, with edges along its sides
-                    found.append((ix, iy, share, whole[iy] if full else rg.geodesic_area(piece), full, *([rg.wkb_of(piece)] if shapes else [])))
+                    inside = full or share >= 1 - 1e-12  # covered, with edges along its sides
+                    found.append((ix, iy, share, whole[iy] if full else rg.geodesic_area(piece), inside, *([rg.wkb_of(piece)] if shapes else [])))
                 for k in range(0, len(found), 4096):
                     some = found[k : k + 4096]
                     own = [batch.column(c).slice(i, 1).take(pa.array([0] * len(some))) for c in range(len(ids))]
