@@ -42,9 +42,9 @@ def rounded(df: DataFrame, *cols: str, n: int = 6) -> DataFrame:
     return df
 
 
-def weights(spark, d, norm="per_source") -> WeightsArtifact:
+def weights(spark, d, norm="per_source", strict=False) -> WeightsArtifact:
     group = ["l_suppkey"] if norm == "per_source" else IDS
-    w = normalize.native_weights(sql(spark, d, OVERLAP), group, "area", "area_raw")
+    w = normalize.native_weights(sql(spark, d, OVERLAP), group, "area", "area_raw", strict=strict)
     return WeightsArtifact(w, OutputSchema(tuple(IDS), ("area",), SOURCE, norm), "targets-v1", "units-v1")
 
 
@@ -72,23 +72,24 @@ for _n in ("per_source", "per_destination"):
     _native(_n)
 
 
-def fallback(spark, d, policy, norm="per_source"):
-    frame = weights(spark, d, norm).frame
+def fallback(spark, d, policy, norm="per_source", strict=False):
+    frame = weights(spark, d, norm, strict).frame
     raw = frame.where("pop_raw > 0").select(*IDS, "l_suppkey", F.col("pop_raw").alias("raw"))
     group = ["l_suppkey"] if norm == "per_source" else IDS
-    return normalize.with_fallback(frame.drop("pop_raw"), raw, [*IDS, "l_suppkey"], group, "pop", policy)
+    return normalize.with_fallback(frame.drop("pop_raw"), raw, [*IDS, "l_suppkey"], group, "pop", policy, strict=strict)
 
 
-def _fallback(policy, other, label):
+def _fallback(policy, other, label, guarded=False):
     def run(spark, d):
-        return rounded(fallback(spark, d, policy).select(*IDS, "l_suppkey", "popwt", "pop_raw", "pop_method"), "popwt", n=9)
+        return rounded(fallback(spark, d, policy, strict=guarded).select(*IDS, "l_suppkey", "popwt", "pop_raw", "pop_method"), "popwt", n=9)
 
     text = _W["per_source"] + f"SELECT n_regionkey, c_nationkey, l_suppkey, round(CASE WHEN t > 0 THEN pop_raw / t ELSE {other} END, 9) AS popwt, pop_raw, CASE WHEN t > 0 THEN 'native' ELSE '{label}' END AS pop_method FROM (SELECT *, sum(pop_raw) OVER (PARTITION BY l_suppkey) AS t FROM w)"
-    query(f"weights_fallback_{policy}", text)(run)
+    query(f"weights_{'guarded' if guarded else 'fallback'}_{policy}", text)(run)
 
 
 for _p, _o, _l in (("area", "areawt", "area_fallback"), ("zero", "CAST(0 AS DOUBLE)", "zero"), ("nan", "CAST(NULL AS DOUBLE)", "nan")):
     _fallback(_p, _o, _l)
+_fallback("area", "areawt", "area_fallback", guarded=True)
 
 
 @query("fallback_method_counts", _W["per_source"] + "SELECT method, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_suppkey, CASE WHEN sum(pop_raw) > 0 THEN 'native' ELSE 'area_fallback' END AS method FROM w GROUP BY l_suppkey) GROUP BY method")
@@ -145,7 +146,7 @@ def _(spark, d):
 
 @query("apply_balance", _W["per_source"] + "SELECT l_returnflag, round(sum(value), 2) AS source_total, round(sum(value), 2) AS target_total, CAST(0 AS DOUBLE) AS rel_error FROM d WHERE l_suppkey IN (SELECT l_suppkey FROM w) GROUP BY 1")
 def _(spark, d):
-    got = ap.apply_weights(weights(spark, d), sql(spark, d, DATA).drop("den"), kind="extensive", weight="area", data_version="units-v1", group_col="l_returnflag", coverage={"absent_from_data": "skip", "unmatched": "skip"})
+    got = ap.apply_weights(weights(spark, d, strict=True), sql(spark, d, DATA).drop("den"), kind="extensive", weight="area", data_version="units-v1", group_col="l_returnflag", coverage={"absent_from_data": "skip", "unmatched": "skip"})
     return rounded(rounded(got.balance["value"], "source_total", "target_total", n=2), "rel_error")
 
 
@@ -159,12 +160,12 @@ _WINDOWS = [(1993, 1995), (1994, 1997)]
 _WM = f"WITH draws AS ({duck(DRAWS)}), win AS (SELECT * FROM (VALUES (1993, 1995, '1993-1995'), (1994, 1997, '1994-1997')) AS t(lo, hi, label)), means AS (SELECT c_nationkey, o_orderpriority, m, label AS \"window\", avg(value) AS value FROM draws JOIN win ON year BETWEEN lo AND hi GROUP BY ALL), models AS ({MODELS}), weighted AS (SELECT means.*, weight FROM means JOIN models ON lower(replace(replace(model, '*', ''), 'surrogate_', '')) = lower(o_orderpriority)) "
 
 
-def _means(spark, d):
-    return stats.window_means(sql(spark, d, DRAWS), time_col="year", windows=_WINDOWS)
+def _means(spark, d, check=False):
+    return stats.window_means(sql(spark, d, DRAWS), time_col="year", windows=_WINDOWS, check=check)
 
 
-def _weighted(spark, d):
-    return regroup.attach_member_weights(_means(spark, d), spark.sql(MODELS), "o_orderpriority", "weight")
+def _weighted(spark, d, check=False):
+    return regroup.attach_member_weights(_means(spark, d, check), spark.sql(MODELS), "o_orderpriority", "weight", check=check)
 
 
 @query("window_means_multi", _WM + 'SELECT c_nationkey, o_orderpriority, m, "window", round(value, 4) AS value FROM means')
@@ -177,23 +178,29 @@ _POOL = "SELECT c_nationkey, \"window\", 'mean' AS statistic, round({m}, 7) AS v
 
 @query("pooled_mean_quantiles", _WM + _POOL.format(m="avg(value)", t="means") + "".join(f" UNION ALL SELECT c_nationkey, \"window\", 'q{q:02d}', round(quantile_cont(value, CAST({q / 100} AS DOUBLE)), 7) FROM means GROUP BY ALL" for q in (5, 50, 95)))
 def _(spark, d):
-    return rounded(stats.pooled_statistics(_means(spark, d), sample_dims=["o_orderpriority", "m"], quantiles=(0.05, 0.5, 0.95)), "value", n=7)
+    return rounded(stats.pooled_statistics(_means(spark, d), sample_dims=["o_orderpriority", "m"], quantiles=(0.05, 0.5, 0.95), check=False), "value", n=7)
 
 
 @query("pooled_weighted_mean", _WM + _POOL.format(m="sum(value * weight) / sum(weight)", t="weighted"))
 def _(spark, d):
-    return rounded(stats.pooled_statistics(_weighted(spark, d), sample_dims=["o_orderpriority", "m"], weight_col="weight"), "value", n=7)
+    return rounded(stats.pooled_statistics(_weighted(spark, d), sample_dims=["o_orderpriority", "m"], weight_col="weight", check=False), "value", n=7)
 
 
-@query("pooled_weighted_quantiles", _WM + ", p AS (SELECT *, sum(weight) OVER (PARTITION BY c_nationkey, \"window\" ORDER BY value, o_orderpriority, m ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY c_nationkey, \"window\") AS share FROM weighted) SELECT c_nationkey, \"window\", 'q17' AS statistic, round(max(CASE WHEN share < 0.17 THEN value END), 4) AS value FROM p GROUP BY ALL UNION ALL SELECT c_nationkey, \"window\", 'q83', round(max(CASE WHEN share < 0.83 THEN value END), 4) FROM p GROUP BY ALL")
-def _(spark, d):
-    out = stats.pooled_statistics(_weighted(spark, d), sample_dims=["o_orderpriority", "m"], weight_col="weight", quantiles=(0.17, 0.83), include_mean=False)
+_WQ = _WM + ", p AS (SELECT *, sum(weight) OVER (PARTITION BY c_nationkey, \"window\" ORDER BY value, o_orderpriority, m ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY c_nationkey, \"window\") AS share FROM weighted) SELECT c_nationkey, \"window\", 'q17' AS statistic, round(max(CASE WHEN share < 0.17 THEN value END), 4) AS value FROM p GROUP BY ALL UNION ALL SELECT c_nationkey, \"window\", 'q83', round(max(CASE WHEN share < 0.83 THEN value END), 4) FROM p GROUP BY ALL"
+
+
+def _quantiles(spark, d, check):
+    out = stats.pooled_statistics(_weighted(spark, d, check), sample_dims=["o_orderpriority", "m"], weight_col="weight", quantiles=(0.17, 0.83), include_mean=False, check=check)
     return rounded(out.withColumn("value", F.when(F.col("value") != float("-inf"), F.col("value"))), "value", n=4)
 
 
+query("pooled_weighted_quantiles", _WQ)(lambda spark, d: _quantiles(spark, d, False))
+query("pooled_guarded", _WQ)(lambda spark, d: _quantiles(spark, d, True))
+
+
 @query("summarize_samples_end_to_end", f"WITH draws AS ({duck(DRAWS)}), means AS (SELECT c_nationkey, o_orderpriority, m, avg(value) AS value FROM draws WHERE year BETWEEN 1993 AND 1996 GROUP BY ALL) SELECT c_nationkey, 'mean' AS statistic, round(avg(value), 4) AS value FROM means GROUP BY ALL UNION ALL SELECT c_nationkey, 'q50', round(quantile_cont(value, CAST(0.5 AS DOUBLE)), 4) FROM means GROUP BY ALL")
 def _(spark, d):
-    return rounded(stats.summarize_samples(sql(spark, d, DRAWS), sample_dims=["o_orderpriority", "m"], time_col="year", window=(1993, 1996), quantiles=(0.5,)), "value", n=4)
+    return rounded(stats.summarize_samples(sql(spark, d, DRAWS), sample_dims=["o_orderpriority", "m"], time_col="year", window=(1993, 1996), quantiles=(0.5,), check=False), "value", n=4)
 
 
 @query("subtract_sibling", f"WITH d AS ({duck(DATA)}) SELECT l_suppkey, year, l_returnflag, round(value - den, 4) AS value FROM d")
@@ -251,7 +258,7 @@ def _(spark, d):
 
 @query("merge_weight_sets", _W["per_source"] + "SELECT n_regionkey, c_nationkey, l_suppkey, round(areawt, 9) AS areawt, area_raw, 'native' AS area_method, CASE WHEN s_acctbal > 4000 THEN 'supplement' ELSE 'canonical' END AS source FROM w JOIN supplier ON s_suppkey = l_suppkey")
 def _(spark, d):
-    a = weights(spark, d)
+    a = weights(spark, d, strict=True)
     rich = sql(spark, d, "SELECT s_suppkey AS l_suppkey FROM {supplier} WHERE s_acctbal > 4000")
     return rounded(compare.merge_weights(a.frame.join(rich, "l_suppkey", "left_anti"), a.frame.join(rich, "l_suppkey", "left_semi"), a.schema, id_col="l_suppkey"), "areawt", n=9)
 
