@@ -438,6 +438,50 @@ def test_lm_successor_bits():
     assert np.isfinite(lm.bit_costs(np.zeros((lm.CELLS, 2), np.int64))).all()
 
 
+def test_lm_mixes_the_words_before():
+    from tessella.llm import sequence
+
+    class Value:
+        def __init__(self, value):
+            self.value = value
+
+    rng = random.Random(21)
+    names = [f"w{i}" for i in range(60)]
+    after = {w: rng.sample(names, 2) for w in names}
+
+    def walk(n):
+        out = [rng.choice(names)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(walk(200)) for _ in range(600)])], ["text"])
+    count = sum(np.bincount(sequence.buckets(w), minlength=sequence.BUCKETS) for w, _ in sequence._texts([batch]))
+    tree = sequence.Tree.of(count)
+    flat = np.zeros(sequence.ORDERS << (sequence.SLOT_BITS + 1), np.uint32)
+    for part in sequence._tally(Value(tree))([batch]):
+        k = part.column(0)[0].as_py() * tables.PACK
+        flat[k : k + tables.PACK] = tables._open(part.column(1)[0].as_py())
+    assert flat.sum() == sequence.ORDERS * (count * tree.size).sum()
+    said = np.stack([sequence.views(s[:, 0], s[:, 1]) for s in flat.reshape(sequence.ORDERS, -1, 2)])
+    learned = {}
+    for part in sequence._learn(Value((tree, said)))([batch]):
+        for name, chunk, x in zip(*(c.to_pylist() for c in part.columns)):
+            learned.setdefault(name, {})[chunk] = np.frombuffer(x, np.int64)
+    model = sequence.Sequence(tree, said, *sequence.settled(learned))
+
+    def bits(words):
+        word, row = sequence.tokens(*tx.utf8(pa.array([" ".join(words)])))
+        return model.bits(word, sequence.contexts(word, row), np.zeros(len(word), bool)).sum()
+
+    text = walk(300)
+    assert bits(text) < 0.5 * bits(rng.sample(text, len(text)))  # the same words in another order
+    every = np.arange(sequence.BUCKETS, dtype=np.uint64) << np.uint64(64 - sequence.BUCKET_BITS)
+    word, row = sequence.tokens(*tx.utf8(pa.array(["w1 w2"])))
+    before = [np.repeat(c[1], len(every)) for c in sequence.contexts(word, row)]
+    assert (2.0 ** -model.bits(every, before, np.zeros(len(every), bool))).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_lm_costs_are_a_distribution():
     rng = np.random.default_rng(0)
     mixer = lm.Mixer(rng.normal(0, 1, lm.OFFSETS[-1]).astype(np.float32), lm.start_weights(), rng.normal(0, 1, 256 * lm.LEVELS).astype(np.float32), rng.random(1 << lm.CONTEXTS[-1][1]) < 0.5)
