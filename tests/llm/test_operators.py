@@ -482,6 +482,42 @@ def test_lm_mixes_the_words_before():
     assert (2.0 ** -model.bits(every, before, np.zeros(len(every), bool))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_slots_are_small_and_exact(monkeypatch):
+    from tessella.llm import sequence
+
+    rng = np.random.default_rng(4)
+    no, yes = (rng.integers(0, 64, 1 << sequence.SLOT_BITS).astype(np.uint32) for _ in range(2))
+    said = sequence.views(no, yes)
+    assert said.nbytes * sequence.ORDERS < 20e6  # every executor and the driver keep a copy on disk, whatever the input
+    for view, a, b in ((0, 0, 0), (1, 1, 0), (2, 0, 1)):
+        got = sequence.LOOKS[(view << 16) + said.astype(int)] & sequence.LOW
+        logit = np.log((np.maximum(yes.astype(int) - b, 0) + 0.4) / (np.maximum(no.astype(int) - a, 0) + 0.4))
+        assert np.abs((got - float(sequence.MIDDLE)) / sequence.SHARP - logit).max() < 0.51 / sequence.SHARP
+    large = np.unique(np.rint(2.0 ** rng.uniform(6, 31.9, 9999)).astype(np.uint32))
+    kept = sequence.COUNTS[sequence.views(large, 0 * large) >> 8]
+    assert np.abs(kept / large - 1).max() < 0.06
+    # tokens brought in order and equal ones added at once give the counts of one by one
+    tree = sequence.Tree.of(rng.integers(0, 99, sequence.BUCKETS))
+    ctx, bucket = rng.integers(0, 2**32, 40).astype(np.uint32)[rng.integers(0, 40, 500)], rng.integers(0, 30, 500)
+    table, want = np.zeros(2 << sequence.SLOT_BITS, np.uint32), Counter()
+    monkeypatch.setattr(sequence, "BLOCK", 64)
+    sequence._add(table, tree, ctx.astype(np.uint64) << np.uint64(sequence.BUCKET_BITS) | bucket.astype(np.uint64))
+    for c, b in zip(ctx.tolist(), bucket.tolist()):
+        for code in tree.code[: tree.size[b], b].tolist():
+            x = c ^ (code & ~1)
+            low = (x * 0xC2B2AE35 % 2**32) >> (32 - sequence.SLOT_BITS + sequence.PART_BITS)
+            want[2 * ((x >> (32 - sequence.PART_BITS) << (sequence.SLOT_BITS - sequence.PART_BITS)) | low) + (code & 1)] += 1
+    assert {int(i): int(table[i]) for i in np.flatnonzero(table)} == want
+
+
+def test_lm_head_takes_whole_counts(spark, monkeypatch):
+    priced = spark.createDataFrame([(c,) for c in (0, 1, 1, 1, 5, 7, 7, 9)], "c long")
+    for most, least in ((1, 9), (2, 9), (3, 7), (4, 5), (6, 5), (7, 1), (9, 0)):
+        monkeypatch.setattr(lm, "HEAD", most)
+        assert lm.head_count(priced) == least
+    assert lm.head_count(priced.where("c < 0")) >= 0
+
+
 def test_lm_costs_are_a_distribution():
     rng = np.random.default_rng(0)
     mixer = lm.Mixer(rng.normal(0, 1, lm.OFFSETS[-1]).astype(np.float32), lm.start_weights(), rng.normal(0, 1, 256 * lm.LEVELS).astype(np.float32), rng.random(1 << lm.CONTEXTS[-1][1]) < 0.5)
